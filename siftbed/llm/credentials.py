@@ -1,10 +1,10 @@
 """Credentials embedded in source code, configuration, shell lines and chat.
 
-A credential is found in three steps. Context rules propose spans: the value of an assignment to a credential name, the
-argument of a command-line flag, the password of a URI, the body of a PEM block and so on. Bare strings with no such
-context are proposed where they are unnatural: few characters per subword under the vocabulary of a public tokenizer.
-Each proposed span then passes the tests its context asks for (placeholder, reference, mask, naturalness). Redaction
-replaces every span by asterisks of the same length, so all offsets outside of it stay valid.
+Context rules propose spans: the value assigned to a credential name, the argument of a command-line flag, the password
+of a URI, the body of a PEM block, a self-describing token. A span from a rule that also fits ordinary words has to be
+unnatural: few characters per subword under the vocabulary of a public tokenizer, as no language model's vocabulary
+has long pieces for random strings. References, masks, placeholders and plain words are then turned down. Redaction
+writes asterisks over each span, so every offset outside of it stays as it was.
 """
 
 from __future__ import annotations
@@ -14,15 +14,20 @@ import functools
 import re
 from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 TOKENIZER_DIR = "/opt/tokenizers"
 
-#: Characters per subword at or below which a string counts as unnatural.
-UNNATURAL = 2.6
+#: Characters per subword at or below which a string is unnatural; words of prose and of code have 3 to 6.
+UNNATURAL = 2.7
 
 
 @functools.lru_cache(maxsize=4)
-def subword_lengths(directory: str = TOKENIZER_DIR):
-    """The number of subwords of a string, by the byte-level vocabulary in `directory`."""
+def _encoder(directory: str):
+    """The byte-level vocabulary in `directory`, applied to whole strings: their class changes don't split them first."""
     import tiktoken
 
     ranks = {}
@@ -30,39 +35,215 @@ def subword_lengths(directory: str = TOKENIZER_DIR):
         for line in lines:
             token, rank = line.split()
             ranks[base64.b64decode(token)] = int(rank)
-    # One pattern piece for a whole string: a credential isn't split at its class changes first.
-    encoding = tiktoken.Encoding("subwords", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
-    return lambda text: len(encoding.encode_ordinary(text))
+    return tiktoken.Encoding("subwords", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
 
 
 def chars_per_subword(text: str, directory: str = TOKENIZER_DIR) -> float:
-    """Mean characters per subword; 0.0 for an empty string."""
-    return len(text) / subword_lengths(directory)(text) if text else 0.0
-
-
-# Vendor prefixes of self-describing tokens, with the shape of what follows.
-VENDOR = re.compile(
-    r"(?<![A-Za-z0-9])(?:"
-    r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|ASIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|AIza[A-Za-z0-9_-]{35,40}"
-    r"|gh[pousr]_[A-Za-z0-9]{36,}"
-    r"|github_pat_[A-Za-z0-9_]{30,}"
-    r"|glpat-[A-Za-z0-9_-]{20,}"
-    r"|xox[abeoprs]-[A-Za-z0-9-]{20,}"
-    r"|(?:sk|rk)_live_[A-Za-z0-9]{20,}"
-    r"|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{30,}"
-    r"|sk-proj-[A-Za-z0-9_-]{30,}"
-    r"|sk-ant-[a-z]+[0-9]{2}-[A-Za-z0-9_-]{30,}"
-    r"|hf_[A-Za-z0-9]{30,}"
-    r"|npm_[A-Za-z0-9]{36,}"
-    r"|dop_v1_[a-f0-9]{64}"
-    r"|glsa_[A-Za-z0-9]{32}_[a-f0-9]{8}"
-    r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{20,}"
-    r")"
-)
-
-# The words that make a name a credential name.
-_WORD = r"(?:passwd|password|passphrase|passwort|pass|pwd|secret|token|api[_.-]?key|access[_.-]?key(?:[_.-]?id)?|secret[_.-]?key|private[_.-]?key|encryption[_.-]?key|signing[_.-]?key|account[_.-]?key|auth[_.-]?key|credential|cred)"
-#: A name that holds a credential word as its last part (PGPASSWORD, jwtSecret, smtp_pass, X-Api-Key, _authToken).
-NAME = rf"[A-Za-z0-9_.-]{{0,40}}{_WORD}"
+    """Mean characters per subword of a string; 0.0 for an empty one."""
+    return len(text) / len(_encoder(directory).encode_ordinary(text)) if text else 0.0
+
+
+# The words that a credential's name ends with, and the words before `key` that make it one.
+_WORD = r"pass(?:word|phrase|wd|wort)?|pwd|secret|token|auth|credentials?"
+_KEY = r"(?:api|access|secret|private|encryption|signing|account|auth|master|shared|storage|subscription|license|ssh)[_.-]?key(?:[_.-]?id)?"
+_NAME = rf"(?:{_WORD}|{_KEY})"
+_OPEN = r"\\?[\"'`“‘]"
+_BARE = r"[^\s\"'`“”‘’<>(){},;\\]+"
+_QUOTED = r"[^\s\"'`“”‘’\\]+"
+_VALUE = rf"(?:{_OPEN}(?P<q>{_QUOTED})(?=\\?[\"'`”’])|(?P<b>{_BARE}))"
+
+# Rules as (name, whether the context alone is weak, what triggers the rule in lower-case text, pattern with the value in q or b).
+_RULES: list[tuple[str, bool, tuple[str, ...], str]] = [
+    ("assignment", False, (), rf"(?i){_NAME}{_OPEN}?\s?[\])]?\s*(?:=>|:=|=|:|,(?=\s*{_OPEN}))\s*(?:convertto-securestring\s+)?{_VALUE}"),
+    ("attribute", False, ('" value=', "' value="), rf"(?i){_NAME}[\"']\s+value\s*=\s*{_VALUE}"),
+    ("element", False, (), rf"(?i)<[\w.:-]*{_NAME}>\s*(?P<b>[^\s<>]+)\s*</"),
+    ("sentence", True, (" is ", " was ", " are "), rf"(?i){_NAME}\s+(?:is|was|are)\s*:?\s+{_VALUE}"),
+    ("login", True, ("passw", "pwd "), rf"(?i)\bpass(?:word|wd)?\s+(?:as\s+)?{_VALUE}"),
+    ("secure string", False, ("securestring",), rf"(?i)convertto-securestring\s+(?:-string\s+)?{_VALUE}"),
+    ("identified", False, ("identified",), rf"(?i)identified\s+(?:with\s+\w+\s+)?by\s+{_VALUE}"),
+    ("environment", False, ("env ",), rf"(?i)\benv\s+[\w.-]*{_NAME}\s+{_VALUE}"),
+    ("named value", False, ("value:",), rf"(?i){_NAME}{_OPEN}?\s*\n\s*value:\s*{_VALUE}"),
+    ("default", False, ("default",), rf"(?is)variable\s+\"[\w.-]*{_NAME}\"\s*\{{[^}}]{{0,200}}?default\s*=\s*{_VALUE}"),
+    ("bare value", True, ("value", "default"), rf"(?i)^\s*(?:value|default)\s*[=:]\s*{_VALUE}"),
+    ("long flag", False, ("--",), rf"(?i)--[\w-]*{_NAME}(?:\s+|=){_VALUE}"),
+    ("password flag", True, ("-p ", "-a ", "-p'", '-p"', "-w "), rf"(?<![\w-])-[paw]\s*{_VALUE}"),
+    ("user flag", True, ("-u ",), rf"(?<![\w-])-u\s+{_OPEN}?[\w.@-]+:(?P<b>{_BARE})"),
+    ("bearer", False, ("bearer", "basic "), rf"(?i)\b(?:bearer|basic)\s+(?P<b>{_BARE})"),
+    ("uri", False, ("://",), rf"(?i)\b[a-z][a-z0-9+.-]*://[^\s/:@\"'<>?#]*:<?(?P<b>[^\s/@\"'<>]+)>?@"),
+    ("signature", False, ("sig", "signature"), rf"(?i)(?<![a-z])(?:sig|signature|x-amz-signature)=(?P<b>[a-z0-9%+/=_.~-]+)"),
+]
+
+#: Rules whose place holds nothing but a password.
+_CERTAIN = {"uri", "identified"}
+
+# Shapes of self-describing tokens, by their vendors' prefixes.
+_VENDOR = [
+    ("akia", r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])"),
+    ("asia", r"ASIA[A-Z0-9]{16}(?![A-Z0-9])"),
+    ("aiza", r"AIza[\w-]{33,40}"),
+    ("gh", r"gh[pousr]_[A-Z0-9]{36,}"),
+    ("github_pat_", r"github_pat_\w{30,}"),
+    ("glpat-", r"glpat-[\w-]{20,}"),
+    ("xox", r"xox[abeoprs]-[A-Z0-9-]{20,}"),
+    ("k_live_", r"[sr]k_live_[A-Z0-9]{20,}"),
+    ("sg.", r"SG\.[\w-]{16,}\.[\w-]{30,}"),
+    ("sk-", r"sk-(?:proj|ant|svcacct|[a-z]+\d*)-[\w-]{30,}"),
+    ("hf_", r"hf_[A-Z0-9]{30,}"),
+    ("npm_", r"npm_[A-Z0-9]{36,}"),
+    ("dop_v1_", r"dop_v1_[a-f0-9]{64}"),
+    ("glsa_", r"glsa_[A-Z0-9]{32}_[a-f0-9]{8}"),
+    ("eyj", r"eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{20,}"),
+]
+_PEM = r"(?is)-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN).)*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+
+# Words that stand where a credential would.
+_PLACEHOLDER = re.compile(r"(?i)change_?me|your[-_]|example|placeholder|dummy|redacted|insert[-_]|replace[-_]|todo|<[^>]*>?|\*{3,}|x{6,}|\.{3,}|^(?:none|null|true|false|undefined|string|secret|password)$")
+_REFERENCE = re.compile(r"^(?:[$%#@]|\{\{|process\.env|os\.|env\.|ENV\[|getenv|vault:|ssm:|arn:|file:|/|\./|~/|https?:|[\w.]+\()|\$\{|\w\(|\w\[|\w\.\w+\(")
+_DIGIT, _LETTER, _MARK = re.compile(r"\d"), re.compile(r"[^\W\d_]"), re.compile(r"[^\w\s]|_")
+
+
+@functools.lru_cache(maxsize=1)
+def _triggers() -> ahocorasick.Automaton:
+    """An automaton over lower-case text whose hits name the rules worth running."""
+    automaton, found = ahocorasick.Automaton(), {}
+    for rule, (_, _, literals, _) in enumerate(_RULES):
+        for literal in literals:
+            found.setdefault(literal, set()).add(rule)
+    words = ["password", "passphrase", "passwd", "passwort", "pass", "pwd", "secret", "token", "auth", "credential", "credentials", "key", "key_id", "keyid", "key-id", "key.id"]
+    for word in words:
+        for after in ('"', "'", "`", "]", ")", ":", "=", " :", " =", ",", '\\"', "\\'", "”", "’"):
+            found.setdefault(word + after, set()).add(0)
+        found.setdefault(word + ">", set()).add(2)
+    for k, (literal, _) in enumerate(_VENDOR):
+        found.setdefault(literal, set()).add(100 + k)
+    found.setdefault("private key", set()).add(200)
+    for literal, rules in found.items():
+        automaton.add_word(literal, tuple(sorted(rules)))
+    automaton.make_automaton()
+    return automaton
+
+
+@functools.lru_cache(maxsize=1)
+def _compiled() -> tuple[list[re.Pattern], list[re.Pattern], re.Pattern]:
+    return [re.compile(r[3]) for r in _RULES], [re.compile(rf"(?i)(?<![A-Z0-9]){shape}") for _, shape in _VENDOR], re.compile(_PEM)
+
+
+def credible(value: str, weak: bool, directory: str = TOKENIZER_DIR, certain: bool = False) -> bool:
+    """Whether a value in the place of a credential is one: no placeholder, reference, mask, word, number or path.
+
+    Where the place holds nothing but passwords (`certain`), a word is one too.
+    """
+    if certain:
+        return len(value) >= 4 and not _PLACEHOLDER.search(value) and not _REFERENCE.search(value)
+    if len(value) < 6 or _PLACEHOLDER.search(value) or _REFERENCE.search(value) or not _LETTER.search(value):
+        return False
+    digit = bool(_DIGIT.search(value))
+    if digit and not weak:
+        return True
+    unnatural = chars_per_subword(value, directory) <= UNNATURAL
+    if not digit:
+        return unnatural and len(value) >= 12 and not re.fullmatch(r"[A-Z_.-]+|[a-z_.-]+|[A-Za-z]+(?:_[A-Za-z]+)+", value)
+    # A word with a number (int64, pg-12, sha256sum) isn't enough where the context fits prose and other flags.
+    return len(value) >= 8 and (unnatural or bool(_MARK.search(value))) and not re.fullmatch(r"[\w-]+(?:\.[\w-]+)+|[a-z]+[-_/]?\d+", value)
+
+
+def find_credentials(text: str | None, directory: str = TOKENIZER_DIR) -> list[tuple[int, int, str]]:
+    """(start, end, rule) of the credentials in a text in order, without overlaps; of overlapping spans the longest stays."""
+    if not text:
+        return []
+    hits = {rule for _, rules in _triggers().iter(text.lower()) for rule in rules}
+    if not hits:
+        return []
+    rules, vendors, pem = _compiled()
+    spans: list[tuple[int, int, str]] = []
+    if 200 in hits:
+        spans += [(*m.span(), "private key") for m in pem.finditer(text)]
+    for k in hits:
+        if 100 <= k < 200:
+            for m in vendors[k - 100].finditer(text):
+                if not _PLACEHOLDER.search(m.group()):
+                    spans.append((*m.span(), "token"))
+    for k in hits:
+        if k < 100:
+            name, weak = _RULES[k][:2]
+            for m in rules[k].finditer(text):
+                group = "b" if m["b"] is not None else "q"
+                start, value = m.start(group), m[group]
+                if group == "b":
+                    value = _trimmed(value, name)
+                if credible(value, weak, directory, name in _CERTAIN):
+                    spans.append((start, start + len(value), name))
+    spans.sort(key=lambda s: (s[0] - s[1], s[0]))
+    kept: list[tuple[int, int, str]] = []
+    for start, end, name in spans:
+        if all(end <= a or start >= b for a, b, _ in kept):
+            kept.append((start, end, name))
+    return sorted(kept)
+
+
+def _trimmed(value: str, rule: str) -> str:
+    """A bare value without the punctuation of the sentence or URL around it."""
+    if rule == "assignment":
+        value = value.split("&", 1)[0]
+    if rule in ("sentence", "login", "assignment"):
+        value = value.rstrip(".?!:|*") if value[-1:] in ".?:|*" else value
+    return value
+
+
+def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """`text` with asterisks over each span: the same length, line breaks kept."""
+    parts, at = [], 0
+    for start, end, _ in spans:
+        parts += [text[at:start], re.sub(r"[^\r\n]", "*", text[start:end])]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
+_FOUND = "secrets array<string>, starts array<int>, rules array<string>, redacted string"
+
+
+def scan_texts(texts: DataFrame, *, record: str = "message_id", text: str = "text", directory: str = TOKENIZER_DIR) -> DataFrame:
+    """record, secrets, starts, rules, redacted: of every text the credentials, their offsets and the masked text.
+
+    A null text has null in `redacted` and empty arrays; a text without credentials is its own redaction. Rows keep
+    their number and other columns are left out. The scan is one pass over whole texts without a shuffle.
+    """
+    kind = texts.schema[record].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1).to_pylist()
+            found = [find_credentials(v, directory) for v in values]
+            secrets = [[v[a:b] for a, b, _ in s] for v, s in zip(values, found)]
+            arrays = [pa.array(secrets, pa.list_(pa.string())), pa.array([[a for a, _, _ in s] for s in found], pa.list_(pa.int32())), pa.array([[r for _, _, r in s] for s in found], pa.list_(pa.string()))]
+            redacted = pa.array([redact(v, s) if s else v for v, s in zip(values, found)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, redacted], ["record", "secrets", "starts", "rules", "redacted"])
+
+    return texts.select(record, text).mapInArrow(run, f"record {kind}, {_FOUND}").withColumnRenamed("record", record)
+
+
+def shown_in_redaction(findings: DataFrame, *, record: str = "finding_id", directory: str = TOKENIZER_DIR) -> DataFrame:
+    """record, secrets, redacted: the credentials of `matched_text` or `redacted_text` that `redacted_text` shows in full.
+
+    `redacted` is `redacted_text` with them masked. Findings without a redacted text, or whose text hides all, give no row.
+    """
+    kind = findings.schema[record].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, secrets, redacted = [], [], []
+            for i, (matched, shown) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                values = [(matched or "")[a:b] for a, b, _ in find_credentials(matched, directory)]
+                # What is asterisks and brackets only around an otherwise full value still shows it.
+                values += [shown[a:b].strip("*<>") for a, b, _ in find_credentials(shown, directory)]
+                values = [v for v in dict.fromkeys(values) if v and v in shown]
+                values = [v for v in values if not any(v != w and v in w for w in values)]
+                if values:
+                    ids.append(i)
+                    secrets.append(values)
+                    redacted.append(functools.reduce(lambda t, v: t.replace(v, re.sub(r"[^\r\n]", "*", v)), values, shown))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(secrets, pa.list_(pa.string())), pa.array(redacted, pa.string())], ["record", "secrets", "redacted"])
+
+    # A redaction of four characters and asterisks shows no credential in full: those rows needn't be scanned.
+    shown = findings.where(F.length("redacted_text") >= 6).where(~F.col("redacted_text").rlike(r"(?s)^.{0,4}\*+\.*$"))
+    return shown.select(record, "matched_text", "redacted_text").mapInArrow(run, f"record {kind}, secrets array<string>, redacted string").withColumnRenamed("record", record)

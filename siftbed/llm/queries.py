@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftbed.llm import credentials
 from siftbed.llm import formatting_duplicates as duplicates
 from siftbed.sources.tables import read_table
 
@@ -18,5 +19,17 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_copies(spark, folder).select("keep_id", "copy_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies)}
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message with its credentials, where they start, and the text with them masked."""
+    return credentials.scan_texts(read_table(spark, folder, "messages"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    in_messages = p2_redacted(spark, folder).select(F.lit("message").alias("record_kind"), F.col("message_id").alias("record_id"), F.explode("secrets").alias("secret"))
+    in_findings = credentials.shown_in_redaction(read_table(spark, folder, "findings"))
+    in_findings = in_findings.select(F.lit("finding").alias("record_kind"), F.col("finding_id").alias("record_id"), F.explode("secrets").alias("secret"))
+    return in_messages.unionByName(in_findings).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_redacted)}
 SQL: dict[str, str] = {}
