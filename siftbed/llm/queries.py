@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftbed.llm import credentials
 from siftbed.llm import formatting_duplicates as duplicates
+from siftbed.llm import personal
 from siftbed.sources.tables import read_table
 
 
@@ -31,5 +32,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return in_messages.unionByName(in_findings).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_redacted)}
+def p3_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message with the personal data in it, and the text with typed placeholders."""
+    messages, names, findings = (read_table(spark, folder, t) for t in ("messages", "given_names", "findings"))
+    return personal.scan_texts(messages, names, findings)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    items = p3_masked(spark, folder).select("message_id", F.explode("items").alias("item"))
+    return items.select("message_id", F.col("item.type").alias("pii_type"), F.col("item.value").alias("pii_value")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_redacted, p3_found, p3_masked)}
 SQL: dict[str, str] = {}
