@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftbed.llm import credentials
 from siftbed.llm import formatting_duplicates as duplicates
-from siftbed.llm import personal
+from siftbed.llm import personal, quality
 from siftbed.sources.tables import read_table
 
 
@@ -43,5 +43,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return items.select("message_id", F.col("item.type").alias("pii_type"), F.col("item.value").alias("pii_value")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_redacted, p3_found, p3_masked)}
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics and the kind of every document."""
+    return quality.text_statistics(read_table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_statistics(spark, folder).where("kind <> 'prose'").select("doc_id", "kind").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_redacted, p3_found, p3_masked, p8_found, p8_statistics)}
 SQL: dict[str, str] = {}
