@@ -152,6 +152,9 @@ def line_kinds(lines: list[str]) -> list[str]:
             continue
         n = len(s.split())
         near = [cells[rows[place[k] + d]] for d in (-2, -1, 1, 2) if 0 <= place[k] + d < len(rows)]
+        if len(s) > 80 and s[0].isalpha() and not _NO_PROSE.search(s):
+            kinds.append("text")
+            continue
         bullet = _BULLET.match(line)
         bare = s.rstrip(",;.")
         if _HEX.match(line) or _SOLID.match(s) and not s.isalpha() or len(s) > 200 and n <= 2:
@@ -184,6 +187,8 @@ def line_kinds(lines: list[str]) -> list[str]:
     return kinds
 
 
+#: A long line that begins with a letter and has none of this is running text.
+_NO_PROSE = re.compile(r"[|\t{}=<>»·;\\_]| {2}|^\S+$|,\S|\(\)|^[A-Z]+ ")
 _ANY_FUNCTION = {w for shares in FUNCTION_WORDS.values() for w in shares}
 _STRUCTURE = ("prose", "list", "table", "code", "junk")
 #: The structural profiles: shares of a document's characters in lines of each class.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftbed.llm import credentials
 from siftbed.llm import formatting_duplicates as duplicates
-from siftbed.llm import personal, quality
+from siftbed.llm import leaks, personal, quality
 from siftbed.sources.tables import read_table
 
 
@@ -43,6 +43,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return items.select("message_id", F.col("item.type").alias("pii_type"), F.col("item.value").alias("pii_value")).distinct()
 
 
+def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and evaluation item that it repeats, with the spans to remove."""
+    return leaks.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_spans(spark, folder).select("doc_id", "item_id").distinct()
+
+
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics and the kind of every document."""
     return quality.text_statistics(read_table(spark, folder, "documents"))
@@ -52,5 +61,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_statistics(spark, folder).where("kind <> 'prose'").select("doc_id", "kind").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_redacted, p3_found, p3_masked, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_redacted, p3_found, p3_masked, p7_found, p7_spans, p8_found, p8_statistics)}
 SQL: dict[str, str] = {}
