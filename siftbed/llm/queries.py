@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftbed.llm import credentials
+from siftbed.llm import containers, credentials
 from siftbed.llm import formatting_duplicates as duplicates
 from siftbed.llm import leaks, personal, quality
 from siftbed.sources.tables import read_table
@@ -43,6 +43,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return items.select("message_id", F.col("item.type").alias("pii_type"), F.col("item.value").alias("pii_value")).distinct()
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, or of each piece of one over the capacity, for every kind of container."""
+    return containers.packed(read_table(spark, folder, "documents"), read_table(spark, folder, "container_sizes"))
+
+
 def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and evaluation item that it repeats, with the spans to remove."""
     return leaks.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
@@ -61,5 +66,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_statistics(spark, folder).where("kind <> 'prose'").select("doc_id", "kind").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_redacted, p3_found, p3_masked, p7_found, p7_spans, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_redacted, p3_found, p3_masked, p6_containers, p7_found, p7_spans, p8_found, p8_statistics)}
 SQL: dict[str, str] = {}
