@@ -52,23 +52,23 @@ _BARE = r"[^\s\"'`“”‘’<>(){},;\\]+"
 _QUOTED = r"[^\s\"'`“”‘’\\]+"
 _VALUE = rf"(?:{_OPEN}(?P<q>{_QUOTED})(?=\\?[\"'`”’])|(?P<b>{_BARE}))"
 
-# Rules as (name, whether the context alone is weak, what triggers the rule in lower-case text, pattern with the value in q or b).
+# Rules as (name, whether the context alone is weak, of which literals lower-case text that fits has one, pattern with the value in q or b).
 _RULES: list[tuple[str, bool, tuple[str, ...], str]] = [
     ("assignment", False, (), rf"(?i){_NAME}{_OPEN}?\s?[\])]?\s*(?:=>|:=|=|:|,(?=\s*{_OPEN}))\s*(?:convertto-securestring\s+)?{_VALUE}"),
-    ("attribute", False, ('" value=', "' value="), rf"(?i){_NAME}[\"']\s+value\s*=\s*{_VALUE}"),
-    ("element", False, (), rf"(?i)<[\w.:-]*{_NAME}>\s*(?P<b>[^\s<>]+)\s*</"),
-    ("sentence", True, (" is ", " was ", " are "), rf"(?i){_NAME}\s+(?:is|was|are)\s*:?\s+{_VALUE}"),
-    ("login", True, ("passw", "pwd "), rf"(?i)\bpass(?:word|wd)?\s+(?:as\s+)?{_VALUE}"),
+    ("attribute", False, ("value",), rf"(?i){_NAME}[\"']\s+value\s*=\s*{_VALUE}"),
+    ("element", False, ("</",), rf"(?i)<[\w.:-]*{_NAME}>\s*(?P<b>[^\s<>]+)\s*</"),
+    ("sentence", True, ("is", "was", "are"), rf"(?i){_NAME}\s+(?:is|was|are)\s*:?\s+{_VALUE}"),
+    ("login", True, ("pass",), rf"(?i)\bpass(?:word|wd)?\s+(?:as\s+)?{_VALUE}"),
     ("secure string", False, ("securestring",), rf"(?i)convertto-securestring\s+(?:-string\s+)?{_VALUE}"),
     ("identified", False, ("identified",), rf"(?i)identified\s+(?:with\s+\w+\s+)?by\s+{_VALUE}"),
-    ("environment", False, ("env ",), rf"(?i)\benv\s+[\w.-]*{_NAME}\s+{_VALUE}"),
+    ("environment", False, ("env",), rf"(?i)\benv\s+[\w.-]*{_NAME}\s+{_VALUE}"),
     ("named value", False, ("value:",), rf"(?i){_NAME}{_OPEN}?\s*\n\s*value:\s*{_VALUE}"),
     ("default", False, ("default",), rf"(?is)variable\s+\"[\w.-]*{_NAME}\"\s*\{{[^}}]{{0,200}}?default\s*=\s*{_VALUE}"),
     ("bare value", True, ("value", "default"), rf"(?i)^\s*(?:value|default)\s*[=:]\s*{_VALUE}"),
     ("long flag", False, ("--",), rf"(?i)--[\w-]*{_NAME}(?:\s+|=){_VALUE}"),
-    ("password flag", True, ("-p ", "-a ", "-p'", '-p"', "-w "), rf"(?<![\w-])-[paw]\s*{_VALUE}"),
-    ("user flag", True, ("-u ",), rf"(?<![\w-])-u\s+{_OPEN}?[\w.@-]+:(?P<b>{_BARE})"),
-    ("bearer", False, ("bearer", "basic "), rf"(?i)\b(?:bearer|basic)\s+(?P<b>{_BARE})"),
+    ("password flag", True, ("-p", "-a", "-w"), rf"(?<![\w-])-[paw](?![a-z]+=)\s*{_VALUE}"),
+    ("user flag", True, ("-u",), rf"(?<![\w-])-u\s+{_OPEN}?[\w.@-]+:(?P<b>{_BARE})"),
+    ("bearer", False, ("bearer", "basic"), rf"(?i)\b(?:bearer|basic)\s+(?P<b>{_BARE})"),
     ("uri", False, ("://",), rf"(?i)\b[a-z][a-z0-9+.-]*://[^\s/:@\"'<>?#]*:<?(?P<b>[^\s/@\"'<>]+)>?@"),
     ("signature", False, ("sig", "signature"), rf"(?i)(?<![a-z])(?:sig|signature|x-amz-signature)=(?P<b>[a-z0-9%+/=_.~-]+)"),
 ]
@@ -102,6 +102,12 @@ _REFERENCE = re.compile(r"^(?:[$%#@]|\{\{|process\.env|os\.|env\.|ENV\[|getenv|v
 _DIGIT, _LETTER, _MARK = re.compile(r"\d"), re.compile(r"[^\W\d_]"), re.compile(r"[^\w\s]|_")
 
 
+#: The hit that stands for the name of a credential, which rules with _NAME need besides their own literals.
+_NAMED = 300
+#: Characters that the rules take for letters in any case, though their lower case is another.
+_FOLDED = str.maketrans({"ſ": "s", "ı": "i", "İ": "i"})
+
+
 @functools.lru_cache(maxsize=1)
 def _triggers() -> ahocorasick.Automaton:
     """An automaton over lower-case text whose hits name the rules worth running."""
@@ -109,11 +115,9 @@ def _triggers() -> ahocorasick.Automaton:
     for rule, (_, _, literals, _) in enumerate(_RULES):
         for literal in literals:
             found.setdefault(literal, set()).add(rule)
-    words = ["password", "passphrase", "passwd", "passwort", "pass", "pwd", "secret", "token", "auth", "credential", "credentials", "key", "key_id", "keyid", "key-id", "key.id"]
-    for word in words:
-        for after in ('"', "'", "`", "]", ")", ":", "=", " :", " =", ",", '\\"', "\\'", "”", "’"):
-            found.setdefault(word + after, set()).add(0)
-        found.setdefault(word + ">", set()).add(2)
+    # What every credential name has in it.
+    for word in ("pass", "pwd", "secret", "token", "auth", "credential", "key"):
+        found.setdefault(word, set()).add(_NAMED)
     for k, (literal, _) in enumerate(_VENDOR):
         found.setdefault(literal, set()).add(100 + k)
     found.setdefault("private key", set()).add(200)
@@ -147,11 +151,21 @@ def credible(value: str, weak: bool, directory: str = TOKENIZER_DIR, certain: bo
     return len(value) >= 8 and (unnatural or bool(_MARK.search(value))) and not re.fullmatch(r"[\w-]+(?:\.[\w-]+)+|[a-z]+[-_/]?\d+", value)
 
 
+def _worth_running(text: str) -> set[int]:
+    """The rules that may match somewhere in a text: all that do, and few others."""
+    lower = text.lower() if text.isascii() else text.translate(_FOLDED).lower()
+    hits = {rule for _, rules in _triggers().iter(lower) for rule in rules}
+    named = _NAMED in hits
+    hits.discard(_NAMED)
+    hits |= {k for k, rule in enumerate(_RULES) if not rule[2]}
+    return {k for k in hits if k >= len(_RULES) or named or _NAME not in _RULES[k][3]}
+
+
 def find_credentials(text: str | None, directory: str = TOKENIZER_DIR) -> list[tuple[int, int, str]]:
     """(start, end, rule) of the credentials in a text in order, without overlaps; of overlapping spans the longest stays."""
     if not text:
         return []
-    hits = {rule for _, rules in _triggers().iter(text.lower()) for rule in rules}
+    hits = _worth_running(text)
     if not hits:
         return []
     rules, vendors, pem = _compiled()
