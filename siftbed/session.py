@@ -17,6 +17,7 @@ def get_spark(app: str = "siftbed", master: str = "local[*]", **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.ui.showConsoleProgress": "false",
     } | conf
     builder = SparkSession.builder.appName(app).master(master)
@@ -26,9 +27,11 @@ def get_spark(app: str = "siftbed", master: str = "local[*]", **conf: str) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests, one machine) a local one."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset a local one, on one machine only."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/siftbed-{os.getuid()}"
     return folder.rstrip("/")
 
