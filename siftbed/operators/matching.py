@@ -49,8 +49,8 @@ _PARTS = {
 class Matcher:
     """Compiled rules with their gates; built once in every Python worker."""
 
-    def __init__(self, rules: tuple[Rule, ...]):
-        self.rules = rules
+    def __init__(self, rules: tuple[Rule, ...], gated: bool = True):
+        self.rules, self.gated = rules, gated
         self.compiled = [re.compile(r.regex) for r in rules]
         self.parts = [re.compile(_PARTS[r.rule_id]) if r.rule_id in _PARTS else None for r in rules]
         self.keywords = [tuple(k.lower() for k in r.keywords) for r in rules]
@@ -84,7 +84,7 @@ class Matcher:
             for those in {v for _, v in self.automaton.iter(low)}:
                 chosen.update(those)
         chosen.update(i for literals, i in self.literals if any(x in text for x in literals))
-        return [i for i in sorted(chosen) if not self.keywords[i] or any(k in low for k in self.keywords[i])]
+        return [i for i in sorted(chosen) if not self.gated or not self.keywords[i] or any(k in low for k in self.keywords[i])]
 
     def matches(self, text: str) -> Iterator[tuple]:
         """(place, start, match, surroundings, following, line, context) of every match, by rule and start."""
@@ -131,8 +131,8 @@ def context(text: str, line_ends: list[int], start: int, end: int) -> str:
 
 
 @functools.lru_cache(maxsize=4)
-def _matcher(rules: tuple[Rule, ...]) -> Matcher:
-    return Matcher(rules)
+def _matcher(rules: tuple[Rule, ...], gated: bool) -> Matcher:
+    return Matcher(rules, gated)
 
 
 _COLUMNS = [
@@ -141,12 +141,15 @@ _COLUMNS = [
 ]
 
 
-def candidates(messages: DataFrame, rules: tuple[Rule, ...] | None = None, key: str = "message_id", text: str = "text") -> DataFrame:
-    """Every match of every rule: `key`, place of the rule, offset, match, what surrounds it, line and redacted context."""
+def candidates(messages: DataFrame, rules: tuple[Rule, ...] | None = None, key: str = "message_id", text: str = "text", gated: bool = True) -> DataFrame:
+    """Every match of every rule: `key`, place of the rule, offset, match, what surrounds it, line and redacted context.
+
+    `gated` leaves out matches that the keyword filter would turn down anyway, as no keyword stands in the whole text.
+    """
     those = catalog() if rules is None else tuple(rules)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(those)
+        matcher = _matcher(those, gated)
         for batch in batches:
             keys, columns = [], [[] for _ in _COLUMNS]
             for row, value in zip(batch.column(0), batch.column(1).to_pylist()):

@@ -1,4 +1,4 @@
-"""Queries of the general data problems, for the driver's registry."""
+"""All queries outside of the text problems, for the driver's registry."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftbed.operators import nested, timestamps
+from siftbed.plans import json_queries, report_queries, rule_queries, scalar_queries
 from siftbed.sources.tables import read_table
 
 
@@ -35,3 +36,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_normalised, p5_found, p5_tables, p5_messages)}
+SQL: dict[str, str] = {}
+for module in (scalar_queries, rule_queries, report_queries, json_queries):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
