@@ -24,18 +24,28 @@ def p5_tables(spark: SparkSession, folder: str) -> DataFrame:
     return nested.table_columns(nested.flatten(read_table(spark, folder, "raw_sessions")))
 
 
+def p5_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The foreign keys between the flat tables."""
+    return nested.table_links(nested.flatten(read_table(spark, folder, "raw_sessions")))
+
+
+def p5_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """One of the flat tables: content blocks with the keys of their parents."""
+    rows = nested.flatten(read_table(spark, folder, "raw_sessions"))
+    return nested.table(rows, "content[]", ["", "type", "text", "tool_use_id", "is_error"])
+
+
 def p5_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Flat table of texts with the file they came from and the key of their parent."""
-    sessions = read_table(spark, folder, "raw_sessions")
-    texts = nested.texts(nested.flatten(sessions))
-    return texts.join(sessions.select("raw_id", "source_file").distinct(), "raw_id", "left").select("raw_id", "text_path", "parent_path", "source_file", "text")
+    rows = nested.flatten(read_table(spark, folder, "raw_sessions"), keep=("source_file",))
+    return nested.texts(rows, keep=("source_file",)).select("raw_id", "text_path", "parent_path", "source_file", "text")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested.texts(nested.flatten(read_table(spark, folder, "raw_sessions"))).select("raw_id", "text_path", "parent_path").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_normalised, p5_found, p5_tables, p5_messages)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_normalised, p5_found, p5_tables, p5_links, p5_blocks, p5_messages)}
 SQL: dict[str, str] = {}
 for module in (scalar_queries, rule_queries, report_queries, json_queries):
     QUERIES |= module.QUERIES
