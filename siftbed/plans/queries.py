@@ -12,11 +12,12 @@ from siftbed.sources.tables import read_table
 
 def p4_normalised(spark: SparkSession, folder: str) -> DataFrame:
     """Every message with the instant chosen for it, whether its value settles it, and the format."""
-    return timestamps.normalise_timestamps(read_table(spark, folder, "messages"), read_table(spark, folder, "sources"))
+    return timestamps.normalise_timestamps(read_table(spark, folder, "messages"), read_table(spark, folder, "sources")).distinct()
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p4_normalised(spark, folder).where("settled").select("message_id", "epoch_us").distinct()
+    chosen = timestamps.normalise_timestamps(read_table(spark, folder, "messages"), read_table(spark, folder, "sources"))
+    return chosen.where("settled").select("message_id", "epoch_us").distinct()
 
 
 def p5_tables(spark: SparkSession, folder: str) -> DataFrame:

@@ -37,9 +37,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet into the shared folder and read back: lineage is cut, and lost executors cost nothing."""
+    """`df` written as Parquet into the shared folder and read back: lineage is cut, and lost executors cost nothing.
+
+    The files are deleted when the application ends.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
