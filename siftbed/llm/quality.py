@@ -1,20 +1,27 @@
 """Per-document text statistics, and what kind of text a document is: prose, list, table, code or junk.
 
-Lines are first read by their structure. Running text is then compared with the prose of its language: the distribution
-of function words and of character classes against the profiles of several languages, by Jensen-Shannon divergence. The
-characters of a document are spread over structural classes that way, and the document gets the kind of the nearest
-structural profile, again by Jensen-Shannon divergence.
+A document is described by distributions: of its function words against other words and of their distance from the
+prose of the nearest language, of character classes, of word lengths, of line lengths, line beginnings, line ends and
+line structures, of cells, and of what repeats, is broken or belongs to navigation. A structural profile is one such
+set of distributions. Profiles are fitted on hand-labelled documents: labels that their nearest neighbours contradict
+are left out, and the rest of each kind is divided into a few clusters by Jensen-Shannon divergence. A document gets the
+kind of the nearest profile, by the weighted sum of the divergences of all its distributions.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siftbed.llm.profile_texts import SEEDS
 
 KINDS = ("prose", "list", "table", "code", "junk")
 
@@ -26,14 +33,9 @@ FUNCTION_WORDS = {
     "es": {"de": 50, "la": 33, "que": 26, "el": 25, "en": 22, "y": 21, "a": 18, "los": 13, "del": 10, "las": 9, "un": 9, "por": 8, "con": 8, "no": 8, "una": 8, "su": 6, "para": 7, "es": 7, "al": 6, "lo": 6, "como": 5, "más": 4, "se": 9, "o": 4, "pero": 3, "porque": 2, "todo": 2, "muy": 2, "mi": 2, "este": 2, "desde": 1, "aunque": 1, "nadie": 1, "mucho": 1, "luego": 1, "sin": 2},
 }
 CLASSES = ("lower", "upper", "digit", "space", "line", "sentence", "quote", "bracket", "operator", "rule", "accent", "broken")
-#: Shares of the character classes in prose.
-PROSE_CLASSES = dict(zip(CLASSES, (0.79, 0.025, 0.004, 0.155, 0.004, 0.016, 0.002, 0.001, 0.001, 0.002, 0.004, 0.0)))
 # Words of navigation that remain of web pages.
 _NAVIGATION = re.compile(r"(?i)^(?:skip to content|share|pricing|sign (?:in|up|out)|log ?(?:in|out)|©.*|copyright.*|cookie (?:settings|policy)|accept all cookies|follow us|next ?>?|< ?prev(?:ious)?|prev(?:ious)?|docs|home|menu|load more|contact(?: us)?|about(?: us)?|search|subscribe|privacy(?: policy)?|terms(?: of (?:use|service))?|back to top|read more|click here|help|careers|blog|newsletter|\W*)$")
 
-#: Divergence of function words and of character classes from which running text is no prose.
-FAR_WORDS, FAR_CLASSES = 0.62, 0.16
-
 _NAV_PHRASE = re.compile(r"(?i)\b(?:skip to content|pricing|sign (?:in|up|out)|log (?:in|out)|cookie settings|accept all cookies|follow us|load more|back to top|read more|privacy policy|terms of (?:use|service)|contact us|about us|subscribe)\b|© ?\d{4}|next >|< prev|\b(?:Home|Menu|Docs|Share)\b")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _BULLET = re.compile(r"^\s*(?:(?:[-*+•–·▪◦‣●○]|\(?\d{1,4}[.):]|\(?[a-zA-Z][.)]|#\d+)\s+(?:\[[ xX]\]\s*)?|\[[ xX]\]\s+|[•▪◦‣●○])")
@@ -63,16 +65,20 @@ _GAPS = re.compile(r"\S(?:\s{2,}|\t)(?=\S)")
 _END = re.compile(r"[.!?…。]['\"”’)»]*\s*$")
 
 
+def entropies(p: np.ndarray) -> np.ndarray:
+    """Sum of p log p in bits along the last axis."""
+    return (p * np.log2(p)).sum(axis=-1)
+
+
 def divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits of a distribution from each row of `q`: 0 for equal, 1 for disjoint ones."""
+    """Jensen-Shannon divergence in bits of each row of `p` from each row of `q`: 0 for equal, 1 for disjoint distributions."""
     p, q = np.maximum(p, 1e-12), np.maximum(q, 1e-12)
-    m = np.log2((p + q) / 2)
-    return ((p * (np.log2(p) - m)).sum(axis=1) + (q * (np.log2(q) - m)).sum(axis=1)) / 2
+    return (entropies(p)[:, None] + entropies(q)[None, :]) / 2 - entropies((p[:, None, :] + q[None, :, :]) / 2)
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> float:
     """Jensen-Shannon divergence of two distributions in bits."""
-    return float(divergences(p[None, :], q[None, :])[0])
+    return float(divergences(p[None, :], q[None, :])[0, 0])
 
 
 _BYTE_CLASS = np.full(256, CLASSES.index("accent"))
@@ -93,10 +99,6 @@ def class_counts(text: str) -> np.ndarray:
     return raw
 
 
-_CLASS_PROFILE = np.array([PROSE_CLASSES[c] for c in CLASSES])
-_CLASS_PROFILE /= _CLASS_PROFILE.sum()
-
-
 _WORD_PROFILES = {language: np.append(q := np.array(list(shares.values())) / 1000, 1 - q.sum()) for language, shares in FUNCTION_WORDS.items()}
 
 
@@ -139,10 +141,10 @@ def _cells(line: str) -> int:
     return 0
 
 
-def line_kinds(lines: list[str]) -> list[str]:
+def line_kinds(lines: list[str], cells: list[int] | None = None) -> list[str]:
     """What each line is by its structure: blank, rule, heading, list, table, code, junk or text."""
     kinds: list[str] = []
-    cells = [_cells(x) if x.strip() else 0 for x in lines]
+    cells = cells or [_cells(x) if x.strip() else 0 for x in lines]
     rows = [k for k, x in enumerate(lines) if x.strip()]
     place = {k: n for n, k in enumerate(rows)}
     for k, line in enumerate(lines):
@@ -190,81 +192,128 @@ def line_kinds(lines: list[str]) -> list[str]:
 #: A long line that begins with a letter and has none of this is running text.
 _NO_PROSE = re.compile(r"[|\t{}=<>»·;\\_]| {2}|^\S+$|,\S|\(\)|^[A-Z]+ ")
 _ANY_FUNCTION = {w for shares in FUNCTION_WORDS.values() for w in shares}
-_STRUCTURE = ("prose", "list", "table", "code", "junk")
-#: The structural profiles: shares of a document's characters in lines of each class.
-PROFILES = {
-    "prose": ((0.95, 0.02, 0.01, 0.01, 0.01), (0.72, 0.1, 0.08, 0.08, 0.02)),
-    "list": ((0.06, 0.9, 0.01, 0.02, 0.01), (0.25, 0.7, 0.01, 0.03, 0.01), (0.05, 0.6, 0.03, 0.3, 0.02)),
-    "table": ((0.04, 0.02, 0.92, 0.01, 0.01), (0.25, 0.02, 0.7, 0.02, 0.01), (0.05, 0.1, 0.75, 0.08, 0.02)),
-    "code": ((0.02, 0.02, 0.02, 0.93, 0.01), (0.15, 0.1, 0.05, 0.68, 0.02), (0.25, 0.05, 0.02, 0.67, 0.01)),
-    "junk": ((0.03, 0.03, 0.02, 0.02, 0.9), (0.25, 0.05, 0.05, 0.05, 0.6)),
-}
-_PROFILE_KINDS = [kind for kind, profiles in PROFILES.items() for _ in profiles]
-_PROFILES = np.array([np.array(p) / sum(p) for profiles in PROFILES.values() for p in profiles])
-
-
-def statistics(text: str | None) -> dict:
-    """The statistics and the kind of one text. Null counts as empty; a text without any visible character is junk."""
+_LINE_KINDS = ("text", "list", "table", "code", "junk", "entry", "navigation", "heading", "rule")
+#: Upper ends of the classes of words in a line and of letters in a word.
+LINE_WORDS, WORD_LETTERS = (1, 2, 3, 5, 8, 12, 20, 40), (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 14, 20)
+_ENDS = {c: k for k, chars in enumerate((".!?…。！？।؟", ",;:、，", "{}()[]<>", "\"'`”’»", "|\\/=+-*_~#")) for c in chars}
+_STARTS = {c: k for k, chars in enumerate(("|+", "#/-", "\"'", "<", "{}()[]", "$@"), start=4) for c in chars}
+
+#: The distributions of a document: their names, numbers of classes, and weights in the distance from a profile.
+DISTRIBUTIONS = {
+    "characters": (len(CLASSES), 1.0), "line_ends": (7, 1.0), "line_starts": (11, 1.0), "line_words": (len(LINE_WORDS) + 1, 1.0), "cells": (3, 2.0), "word_letters": (len(WORD_LETTERS) + 1, 1.0),
+    "function_words": (2, 2.0), "language": (2, 2.0), "line_kinds": (len(_LINE_KINDS), 3.0), "repeated": (2, 8.0), "broken": (2, 8.0), "navigation": (2, 4.0), "wordless": (2, 1.0),
+}
+_EDGES = np.cumsum([0, *(n for n, _ in DISTRIBUTIONS.values())])
+
+
+def _share(x: float) -> list[float]:
+    x = min(1.0, max(0.0, x))
+    return [x, 1 - x]
+
+
+def described(text: str | None) -> tuple[np.ndarray, dict]:
+    """The distributions of a text, one after the other, and its statistics. Null counts as empty."""
     text = text or ""
-    lines = text.split("\n")
-    filled = [x for x in lines if x.strip()]
-    words = _WORD.findall(text.lower())
-    tokens = text.split()
-    classes = class_counts(text)
-    size = max(1.0, classes.sum())
-    shares = classes / size
-    counts = Counter(words)
-    known = sum(n for w, n in counts.items() if w in _ANY_FUNCTION)
-    far_words, language = word_divergence(counts, max(1, len(words)))
-    far_classes = divergence(shares, _CLASS_PROFILE) if text else 1.0
-
-    kinds = line_kinds(lines)
-    mass = dict.fromkeys(("text", "list", "table", "code", "junk", "entry", "navigation", "heading", "rule"), 0.0)
-    running: list[str] = []
-    for kind, line in zip(kinds, lines):
-        if kind != "blank":
-            mass[kind] += len(line.strip())
-        if kind == "text":
-            running.append(line)
-    repeated = _repetition(filled, tokens)
-    broken = ((0 if text.isascii() else len(_MOJIBAKE.findall(text))) + classes[CLASSES.index("broken")]) / max(1, len(words))
-    if len(running) == len(filled):
-        own_known, n_own, own_far, own_classes = known, len(words), far_words, far_classes
-    else:
-        part = "\n".join(running)
-        own = _WORD.findall(part.lower())
-        own_counts, n_own = Counter(own), len(own)
-        own_known = sum(n for w, n in own_counts.items() if w in _ANY_FUNCTION)
-        own_far = word_divergence(own_counts, n_own)[0] if own else 1.0
-        own_classes = divergence(class_counts(part) / max(1, len(part)), _CLASS_PROFILE) if running else 1.0
-    p = dict.fromkeys(_STRUCTURE, 0.0)
-    p["list"], p["table"], p["code"], p["junk"] = mass["list"], mass["table"], mass["code"], mass["junk"] + mass["navigation"]
-    # Entries without a mark belong to what is around them: a list of their own, else code or a table.
-    other = max(("list", "table", "code"), key=lambda k: p[k])
-    p[other if p[other] > 2 * mass["entry"] else "list"] += mass["entry"]
-    if mass["heading"]:
-        p[max(p, key=lambda k: p[k] + (mass["text"] if k == "prose" else 0))] += mass["heading"]
-    # Navigation has few function words; prose needn't be searched for it.
-    navigation = sum(map(len, _NAV_PHRASE.findall("\n".join(running)))) / max(1.0, mass["text"]) if running and own_known < 0.25 * n_own else 0.0
-    prose_like = navigation < 0.4 and own_far <= FAR_WORDS and own_classes <= FAR_CLASSES and own_known >= 0.16 * n_own
-    p["prose" if prose_like else "junk"] += mass["text"]
-    total = sum(p.values())
-    if not total or repeated > 0.5 or broken > 0.25:
-        kind, nearest = "junk", 0.0 if total else 1.0
-    else:
-        share = np.array([p[k] for k in _STRUCTURE]) / total
-        far = divergences(share[None, :], _PROFILES)
-        nearest, kind = float(far.min()), _PROFILE_KINDS[int(far.argmin())]
-    ends = sum(bool(_END.search(x)) for x in filled)
-    return {
-        "n_chars": len(text), "n_words": len(words), "n_lines": len(filled), "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
-        "symbol_ratio": float(shares[[CLASSES.index(c) for c in ("quote", "bracket", "operator", "rule", "broken")]].sum()), "digit_ratio": float(shares[CLASSES.index("digit")]),
-        "line_end_share": ends / len(filled) if filled else 0.0, "common_word_share": known / len(words) if words else 0.0, "repetition": repeated, "broken_ratio": broken,
-        "word_divergence": far_words, "class_divergence": far_classes, "language": language, "profile_divergence": nearest, "kind": kind,
-        **{f"share_{k}": p[k] / total if total else 0.0 for k in _STRUCTURE},
+    lines = [x for x in text.split("\n") if x.strip()]
+    words, tokens = _WORD.findall(text.lower()), text.split()
+    counts, classes = Counter(words), class_counts(text)
+    n = max(1, len(words))
+    known = max((sum(counts[w] for w in shares) for shares in FUNCTION_WORDS.values()), default=0) / n
+    far, language = word_divergence(counts, n)
+    cells = [_cells(x) for x in lines]
+    kinds = line_kinds(lines, cells)
+    sizes, ends, starts, lengths, in_cells, by_kind = [], np.zeros(7), np.zeros(11), np.zeros(len(LINE_WORDS) + 1), np.zeros(3), dict.fromkeys(_LINE_KINDS, 0.0)
+    for k, (line, kind) in enumerate(zip(lines, kinds)):
+        s = line.strip()
+        size = len(s)
+        sizes.append(size)
+        last, first = s[-1], s[0]
+        ends[_ENDS.get(last, 5 if last.isalpha() else 6)] += size
+        starts[0 if _BULLET.match(line) else 1 if first.isupper() else 2 if first.isalpha() else 3 if first.isdigit() else _STARTS.get(first, 10)] += size
+        lengths[bisect_left(LINE_WORDS, len(s.split()))] += size
+        in_cells[0 if cells[k] < 2 else 2 if any(0 <= j < len(cells) and cells[j] == cells[k] for j in (k - 1, k + 1)) else 1] += size
+        by_kind[kind] += size
+    letters = np.zeros(len(WORD_LETTERS) + 1)
+    for word, times in counts.items():
+        letters[bisect_left(WORD_LETTERS, len(word))] += times
+    repeated = _repetition(lines, tokens)
+    broken = ((0 if text.isascii() else len(_MOJIBAKE.findall(text))) + classes[CLASSES.index("broken")]) / n
+    navigation = 10 * len(_NAV_PHRASE.findall(text)) / max(1, len(text))
+    groups = [classes, ends, starts, lengths, in_cells, letters, _share(known), _share(far), list(by_kind.values()), _share(repeated), _share(broken), _share(navigation), _share(5 * len(words) / max(1, len(text)))]
+    out = np.concatenate([np.asarray(g, dtype=float) for g in groups])
+    for a, b in zip(_EDGES, _EDGES[1:]):
+        total = out[a:b].sum()
+        out[a:b] = out[a:b] / total if total else 1 / (b - a)
+    size, mass = max(1.0, classes.sum()), max(1.0, sum(sizes))
+    common = sum(m for w, m in counts.items() if w in _ANY_FUNCTION)
+    sentence = sum(bool(_END.search(x)) for x in lines)
+    return out, {
+        "n_chars": len(text), "n_words": len(words), "n_lines": len(lines), "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
+        "symbol_ratio": float(classes[[CLASSES.index(c) for c in ("quote", "bracket", "operator", "rule", "broken")]].sum() / size), "digit_ratio": float(classes[CLASSES.index("digit")] / size),
+        "line_end_share": sentence / len(lines) if lines else 0.0, "common_word_share": common / len(words) if words else 0.0, "repetition": repeated, "broken_ratio": broken,
+        "word_divergence": far, "language": language, **{f"share_{k}": v / mass for k, v in by_kind.items()},
     }
 
 
+#: The least share of a class in a distribution, so that one odd character doesn't decide.
+FLOOR = 1e-3
+
+
+def _smoothed(rows: np.ndarray) -> list[np.ndarray]:
+    """The distributions of described texts, apart, each with the floor."""
+    out = []
+    for a, b in zip(_EDGES, _EDGES[1:]):
+        part = np.maximum(rows[:, a:b], FLOOR)
+        out.append(part / part.sum(axis=1, keepdims=True))
+    return out
+
+
+def distances(rows: np.ndarray, profiles: np.ndarray) -> np.ndarray:
+    """The weighted sum of the divergences of all distributions, of each row from each profile."""
+    weights = [w for _, w in DISTRIBUTIONS.values()]
+    return sum(w * divergences(p, q) for w, p, q in zip(weights, _smoothed(rows), _smoothed(profiles)))
+
+
+#: Clusters of a kind; nearest neighbours of a labelled document, and how many of them must have its label.
+CLUSTERS, NEIGHBOURS, AGREEING = 12, 5, 2
+
+
+@functools.cache
+def _seeds() -> tuple[np.ndarray, tuple[str, ...]]:
+    texts = [(kind, text) for kind, texts in SEEDS.items() for text in texts]
+    return np.array([described(text)[0] for _, text in texts]), tuple(kind for kind, _ in texts)
+
+
+def fit_profiles(texts: list[tuple[str, str | None]]) -> tuple[np.ndarray, list[str]]:
+    """(profiles, their kinds) of (label, text) pairs and of the seed texts, whose profiles stand in where labels are few."""
+    seeds, kinds = _seeds()
+    labelled = [(label, text) for label, text in sorted(set(texts), key=str) if label in KINDS and text]
+    profiles, of = list(seeds), list(kinds)
+    if not labelled:
+        return np.array(profiles), of
+    rows = np.array([described(text)[0] for _, text in labelled])
+    labels = np.array([label for label, _ in labelled])
+    every, names = np.concatenate([rows, seeds]), np.concatenate([labels, kinds])
+    near = distances(rows, every)
+    near[np.arange(len(rows)), np.arange(len(rows))] = np.inf
+    nearest = np.argsort(near, axis=1, kind="stable")[:, :NEIGHBOURS]
+    kept = (names[nearest] == labels[:, None]).sum(axis=1) >= AGREEING
+    for kind in KINDS:
+        own = rows[kept & (labels == kind)]
+        if not len(own):
+            continue
+        # Each next centre is the document farthest from all before; then the centres move to their clusters' means.
+        centres = own[:1]
+        while len(centres) < min(CLUSTERS, len(own)):
+            centres = np.concatenate([centres, own[[distances(own, centres).min(axis=1).argmax()]]])
+        for _ in range(8):
+            cluster = distances(own, centres).argmin(axis=1)
+            centres = np.array([own[cluster == k].mean(axis=0) if (cluster == k).any() else centres[k] for k in range(len(centres))])
+        profiles += list(centres)
+        of += [kind] * len(centres)
+    return np.array(profiles), of
+
+
 def _repetition(lines: list[str], tokens: list[str]) -> float:
     """The share of a text that repeats itself: of its lines, or of its runs of four words, whichever is larger."""
     by_lines = 1 - len({x.strip() for x in lines}) / len(lines) if len(lines) >= 8 else 0.0
@@ -276,20 +325,45 @@ def _repetition(lines: list[str], tokens: list[str]) -> float:
 
 _COLUMNS = {
     "n_chars": "bigint", "n_words": "bigint", "n_lines": "bigint", "mean_word_length": "double", "symbol_ratio": "double", "digit_ratio": "double", "line_end_share": "double", "common_word_share": "double",
-    "repetition": "double", "broken_ratio": "double", "word_divergence": "double", "class_divergence": "double", "language": "string", "profile_divergence": "double", "kind": "string",
-    **{f"share_{k}": "double" for k in _STRUCTURE},
+    "repetition": "double", "broken_ratio": "double", "word_divergence": "double", "language": "string", **{f"share_{k}": "double" for k in _LINE_KINDS}, "profile_distance": "double", "kind": "string",
 }
 
 
-def text_statistics(documents: DataFrame, *, record: str = "doc_id", text: str = "text") -> DataFrame:
-    """record and the statistics of every document (see `statistics`), in one pass over whole texts without a shuffle."""
+def assigned(rows: np.ndarray, profiles: np.ndarray, kinds: list[str]) -> tuple[list[float], list[str]]:
+    """The distance from the nearest profile and its kind, of each row."""
+    far = distances(rows, profiles)
+    at = far.argmin(axis=1)
+    return far[np.arange(len(rows)), at].tolist(), [kinds[k] for k in at]
+
+
+def text_statistics(
+    documents: DataFrame, labels: DataFrame | None = None, *, record: str = "doc_id", text: str = "text", label: str = "label", sample_rows: int = 4_000
+) -> DataFrame:
+    """record, the statistics of every document (see `described`), the distance from the nearest profile, and its kind.
+
+    The profiles are fitted on the texts of at most `sample_rows` labelled documents, chosen by a hash of their ids;
+    wrong, null and contradicting labels are borne. One pass over whole texts without a shuffle follows. Null and empty
+    texts have zeros and are junk; repeated documents have a row each; other columns are left out.
+    """
     kind = documents.schema[record].dataType.simpleString()
     types = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    sample: list[tuple[str, str | None]] = []
+    if labels is not None:
+        chosen = labels.where(F.col(label).isin(*KINDS)).select(record, F.col(label).alias("label")).distinct()
+        chosen = chosen.orderBy(F.xxhash64(record, "label"), record, "label").limit(sample_rows)
+        sample = [(r[0], r[1]) for r in documents.select(record, text).join(F.broadcast(chosen), record).select("label", text).limit(2 * sample_rows).collect()]
+    fitted = documents.sparkSession.sparkContext.broadcast(fit_profiles(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics(v) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], types[t]) for c, t in _COLUMNS.items())], ["record", *_COLUMNS])
+        profiles, kinds = fitted.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                values = batch.column(1).to_pylist()
+                both = [described(v) for v in values]
+                far, found = assigned(np.array([x for x, _ in both]), profiles, kinds)
+                rows = [s | {"profile_distance": d, "kind": k if (v or "").strip() else "junk"} for (_, s), d, k, v in zip(both, far, found, values)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], types[t]) for c, t in _COLUMNS.items())], ["record", *_COLUMNS])
 
     out = documents.select(record, text).mapInArrow(run, f"record {kind}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items()))
     return out.withColumnRenamed("record", record)

@@ -59,7 +59,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics and the kind of every document."""
-    return quality.text_statistics(read_table(spark, folder, "documents"))
+    return quality.text_statistics(read_table(spark, folder, "documents"), read_table(spark, folder, "doc_labels"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
