@@ -36,7 +36,9 @@ CLASSES = ("lower", "upper", "digit", "space", "line", "sentence", "quote", "bra
 # Words of navigation that remain of web pages.
 _NAVIGATION = re.compile(r"(?i)^(?:skip to content|share|pricing|sign (?:in|up|out)|log ?(?:in|out)|©.*|copyright.*|cookie (?:settings|policy)|accept all cookies|follow us|next ?>?|< ?prev(?:ious)?|prev(?:ious)?|docs|home|menu|load more|contact(?: us)?|about(?: us)?|search|subscribe|privacy(?: policy)?|terms(?: of (?:use|service))?|back to top|read more|click here|help|careers|blog|newsletter|\W*)$")
 
-_NAV_PHRASE = re.compile(r"(?i)\b(?:skip to content|pricing|sign (?:in|up|out)|log (?:in|out)|cookie settings|accept all cookies|follow us|load more|back to top|read more|privacy policy|terms of (?:use|service)|contact us|about us|subscribe)\b|© ?\d{4}|next >|< prev|\b(?:Home|Menu|Docs|Share)\b")
+# Phrases of navigation inside of running text, in any case and as they are written.
+_PHRASES = ["skip to content", "pricing", "sign in", "sign up", "sign out", "log in", "log out", "cookie settings", "accept all cookies", "follow us", "load more", "back to top", "read more", "privacy policy", "terms of use", "terms of service", "contact us", "about us", "subscribe", "next >", "< prev"]
+_CAPITALS = ["Home ", "Menu ", "Docs ", "Share ", "©"]
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _BULLET = re.compile(r"^\s*(?:(?:[-*+•–·▪◦‣●○]|\(?\d{1,4}[.):]|\(?[a-zA-Z][.)]|#\d+)\s+(?:\[[ xX]\]\s*)?|\[[ xX]\]\s+|[•▪◦‣●○])")
 _RULE = re.compile(r"^\s*[|+:=\-_─│┼*#~. ]{3,}\s*$")
@@ -102,19 +104,34 @@ def class_counts(text: str) -> np.ndarray:
 _WORD_PROFILES = {language: np.append(q := np.array(list(shares.values())) / 1000, 1 - q.sum()) for language, shares in FUNCTION_WORDS.items()}
 
 
-def word_divergence(words: Counter, total: int) -> tuple[float, str]:
+_WORD_PLACES = {language: {w: k for k, w in enumerate(shares)} for language, shares in FUNCTION_WORDS.items()}
+_ANY_FUNCTION = {w for shares in FUNCTION_WORDS.values() for w in shares}
+
+
+def known_words(counts: Counter) -> dict[str, int]:
+    """How many words of a text are function words of each language."""
+    common = counts.keys() & _ANY_FUNCTION
+    return {language: sum(counts[w] for w in common if w in places) for language, places in _WORD_PLACES.items()}
+
+
+def word_divergence(counts: Counter, total: int, known: dict[str, int] | None = None) -> tuple[float, str]:
     """The least divergence from a language's profile of function words, all other words being one class, and the language."""
-    near = [(sum(words[w] for w in shares), language) for language, shares in FUNCTION_WORDS.items()]
-    best = (1.0, "")
-    for known, language in near:
+    known = known or known_words(counts)
+    most, best = max(known.values(), default=0), (1.0, "")
+    common = counts.keys() & _ANY_FUNCTION
+    for language, n in known.items():
         # Languages share a few words: one with far fewer of its own than another can't be the nearest.
-        if not known or 2 * known < max(near)[0]:
+        if not n or 2 * n < most:
             continue
-        counts = np.array([words[w] for w in FUNCTION_WORDS[language]], dtype=float)
         # A text prefers some function words to others; square roots temper that without changing their sum.
-        p = np.sqrt(counts)
-        p = p / p.sum() * known / total
-        best = min(best, (divergence(np.append(p, 1 - known / total), _WORD_PROFILES[language]), language))
+        places, p = _WORD_PLACES[language], np.zeros(len(_WORD_PROFILES[language]))
+        for w in common:
+            if w in places:
+                p[places[w]] = counts[w]
+        p = np.sqrt(p)
+        p *= n / total / p.sum()
+        p[-1] = 1 - n / total
+        best = min(best, (divergence(p, _WORD_PROFILES[language]), language))
     return best
 
 
@@ -191,7 +208,6 @@ def line_kinds(lines: list[str], cells: list[int] | None = None) -> list[str]:
 
 #: A long line that begins with a letter and has none of this is running text.
 _NO_PROSE = re.compile(r"[|\t{}=<>»·;\\_]| {2}|^\S+$|,\S|\(\)|^[A-Z]+ ")
-_ANY_FUNCTION = {w for shares in FUNCTION_WORDS.values() for w in shares}
 _LINE_KINDS = ("text", "list", "table", "code", "junk", "entry", "navigation", "heading", "rule")
 #: Upper ends of the classes of words in a line and of letters in a word.
 LINE_WORDS, WORD_LETTERS = (1, 2, 3, 5, 8, 12, 20, 40), (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 14, 20)
@@ -215,11 +231,13 @@ def described(text: str | None) -> tuple[np.ndarray, dict]:
     """The distributions of a text, one after the other, and its statistics. Null counts as empty."""
     text = text or ""
     lines = [x for x in text.split("\n") if x.strip()]
-    words, tokens = _WORD.findall(text.lower()), text.split()
+    low = text.lower()
+    words, tokens = _WORD.findall(low), text.split()
     counts, classes = Counter(words), class_counts(text)
     n = max(1, len(words))
-    known = max((sum(counts[w] for w in shares) for shares in FUNCTION_WORDS.values()), default=0) / n
-    far, language = word_divergence(counts, n)
+    of_languages = known_words(counts)
+    known = max(of_languages.values()) / n
+    far, language = word_divergence(counts, n, of_languages)
     cells = [_cells(x) for x in lines]
     kinds = line_kinds(lines, cells)
     sizes, ends, starts, lengths, in_cells, by_kind = [], np.zeros(7), np.zeros(11), np.zeros(len(LINE_WORDS) + 1), np.zeros(3), dict.fromkeys(_LINE_KINDS, 0.0)
@@ -238,14 +256,14 @@ def described(text: str | None) -> tuple[np.ndarray, dict]:
         letters[bisect_left(WORD_LETTERS, len(word))] += times
     repeated = _repetition(lines, tokens)
     broken = ((0 if text.isascii() else len(_MOJIBAKE.findall(text))) + classes[CLASSES.index("broken")]) / n
-    navigation = 10 * len(_NAV_PHRASE.findall(text)) / max(1, len(text))
+    navigation = 10 * (sum(map(low.count, _PHRASES)) + sum(map(text.count, _CAPITALS))) / max(1, len(text))
     groups = [classes, ends, starts, lengths, in_cells, letters, _share(known), _share(far), list(by_kind.values()), _share(repeated), _share(broken), _share(navigation), _share(5 * len(words) / max(1, len(text)))]
     out = np.concatenate([np.asarray(g, dtype=float) for g in groups])
     for a, b in zip(_EDGES, _EDGES[1:]):
         total = out[a:b].sum()
         out[a:b] = out[a:b] / total if total else 1 / (b - a)
     size, mass = max(1.0, classes.sum()), max(1.0, sum(sizes))
-    common = sum(m for w, m in counts.items() if w in _ANY_FUNCTION)
+    common = sum(counts[w] for w in counts.keys() & _ANY_FUNCTION)
     sentence = sum(bool(_END.search(x)) for x in lines)
     return out, {
         "n_chars": len(text), "n_words": len(words), "n_lines": len(lines), "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
@@ -269,9 +287,11 @@ def _smoothed(rows: np.ndarray) -> list[np.ndarray]:
 
 
 def distances(rows: np.ndarray, profiles: np.ndarray) -> np.ndarray:
-    """The weighted sum of the divergences of all distributions, of each row from each profile."""
-    weights = [w for _, w in DISTRIBUTIONS.values()]
-    return sum(w * divergences(p, q) for w, p, q in zip(weights, _smoothed(rows), _smoothed(profiles)))
+    """The weighted sum of the divergences of all distributions, of each row from each profile, block by block."""
+    weights, far = [w for _, w in DISTRIBUTIONS.values()], _smoothed(profiles)
+    step = max(1, 1_000_000 // max(1, len(profiles) * max(n for n, _ in DISTRIBUTIONS.values())))
+    parts = [sum(w * divergences(p, q) for w, p, q in zip(weights, _smoothed(rows[at : at + step]), far)) for at in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(profiles)))
 
 
 #: Clusters of a kind; nearest neighbours of a labelled document, and how many of them must have its label.
@@ -337,7 +357,7 @@ def assigned(rows: np.ndarray, profiles: np.ndarray, kinds: list[str]) -> tuple[
 
 
 def text_statistics(
-    documents: DataFrame, labels: DataFrame | None = None, *, record: str = "doc_id", text: str = "text", label: str = "label", sample_rows: int = 4_000
+    documents: DataFrame, labels: DataFrame | None = None, *, record: str = "doc_id", text: str = "text", label: str = "label", sample_rows: int = 1_500
 ) -> DataFrame:
     """record, the statistics of every document (see `described`), the distance from the nearest profile, and its kind.
 
