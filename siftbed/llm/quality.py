@@ -64,7 +64,6 @@ _CODE = re.compile(
 _ENTRY = re.compile(r"^[A-Z]?[\w-]+(?: [\w-]+){1,4}$|^[\w.-]+(?:[/\\][\w.-]+)+$|^[\w-]+\.[a-z]{1,5}$|^[A-Za-z][\w-]*$")
 _LOG = re.compile(r"^\s*(?:\[?\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}|\d{1,3}(?:\.\d{1,3}){3}\s|(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE|FATAL)\b)")
 _GAPS = re.compile(r"\S(?:\s{2,}|\t)(?=\S)")
-_END = re.compile(r"[.!?…。]['\"”’)»]*\s*$")
 
 
 def entropies(p: np.ndarray) -> np.ndarray:
@@ -135,17 +134,25 @@ def word_divergence(counts: Counter, total: int, known: dict[str, int] | None =
     return best
 
 
+_MARKS, _QUOTES = (".", "!", "?", "…", "。"), "'\"”’)»"
+
+
+def _ends(s: str) -> bool:
+    """Whether a stripped line ends a sentence, quotes aside."""
+    return s.rstrip(_QUOTES).endswith(_MARKS)
+
+
 def _cells(line: str) -> int:
     """The number of cells of a table row in the notation the line seems to have; 0 if it is no row."""
     s = line.strip()
-    if _HTML_ROW.search(s):
+    if "<" in s and _HTML_ROW.search(s):
         return 9
     if s.count("|") >= 2 and (s[0] == "|" or s[-1] == "|" or s.count(" | ") >= 2):
         return s.strip("|").count("|") + 1
     if "\t" in s and len(s.split("\t")) >= 2:
         return len(s.split("\t"))
-    gaps = len(_GAPS.findall(s))
-    if gaps >= 2 or gaps == 1 and len(s.split()) <= 6 and not _END.search(s):
+    gaps = len(_GAPS.findall(s)) if "  " in s or not s.isascii() else 0
+    if gaps >= 2 or gaps == 1 and len(s.split()) <= 6 and not _ends(s):
         return gaps + 1
     for mark in (",", ";", " & ", "|", "^", "~"):
         n = s.count(mark)
@@ -153,7 +160,7 @@ def _cells(line: str) -> int:
             parts = s.rstrip(mark).split(mark)
             if len(parts) < 2:
                 continue
-            if sum(len(p.split()) for p in parts) <= 3 * len(parts) and not _END.search(s) and max(len(p.split()) for p in parts) <= 4:
+            if sum(len(p.split()) for p in parts) <= 3 * len(parts) and not _ends(s) and max(len(p.split()) for p in parts) <= 4:
                 return len(parts)
     return 0
 
@@ -162,25 +169,25 @@ def line_kinds(lines: list[str], cells: list[int] | None = None) -> list[str]:
     """What each line is by its structure: blank, rule, heading, list, table, code, junk or text."""
     kinds: list[str] = []
     cells = cells or [_cells(x) if x.strip() else 0 for x in lines]
-    rows = [k for k, x in enumerate(lines) if x.strip()]
-    place = {k: n for n, k in enumerate(rows)}
+    filled = [c for c, x in zip(cells, lines) if x.strip()]
+    at = -1
     for k, line in enumerate(lines):
         s = line.strip()
         if not s:
             kinds.append("blank")
             continue
-        n = len(s.split())
-        near = [cells[rows[place[k] + d]] for d in (-2, -1, 1, 2) if 0 <= place[k] + d < len(rows)]
+        n, at = len(s.split()), at + 1
         if len(s) > 80 and s[0].isalpha() and not _NO_PROSE.search(s):
             kinds.append("text")
             continue
         bullet = _BULLET.match(line)
         bare = s.rstrip(",;.")
-        if _HEX.match(line) or _SOLID.match(s) and not s.isalpha() or len(s) > 200 and n <= 2:
+        first = s[0]
+        if first in _HEXADECIMAL and _HEX.match(line) or _SOLID.match(s) and not s.isalpha() or len(s) > 200 and n <= 2:
             kinds.append("junk")
-        elif _RULE.match(line):
+        elif not first.isalnum() and _RULE.match(line):
             kinds.append("table" if "|" in s or "+" in s else "rule")
-        elif _HTML_ROW.search(s):
+        elif "<" in s and _HTML_ROW.search(s):
             kinds.append("table")
         elif cells[k] and "|" in s and sum(bool(_NAVIGATION.match(c.strip())) for c in s.split("|")) >= 0.6 * (s.count("|") + 1):
             kinds.append("junk")
@@ -188,7 +195,7 @@ def line_kinds(lines: list[str], cells: list[int] | None = None) -> list[str]:
             kinds.append("navigation")
         elif n <= 5 and not bullet and _ENTRY.match(bare) and cells[k] < 2 and not any(w.lower() in _ANY_FUNCTION for w in bare.split()):
             kinds.append("entry")
-        elif cells[k] >= 2 and sum(c == cells[k] for c in near) >= min(2, len(near)) and not (bullet and "|" not in s and "\t" not in s) and not _LOG.match(line) and not s.endswith((";", "{", "(", "),")):
+        elif cells[k] >= 2 and (near := filled[max(0, at - 2) : at] + filled[at + 1 : at + 3]).count(cells[k]) >= min(2, len(near)) and not (bullet and "|" not in s and "\t" not in s) and not _LOG.match(line) and not s.endswith((";", "{", "(", "),")):
             kinds.append("table")
         elif bullet and not re.match(r"-\s+[\w-]+:\s*[\w/.\"'$-]*$", s):
             body = line[bullet.end() :]
@@ -199,7 +206,7 @@ def line_kinds(lines: list[str], cells: list[int] | None = None) -> list[str]:
             kinds.append("heading")
         elif bullet or _CODE.match(line) or _LOG.match(line):
             kinds.append("code")
-        elif n <= 6 and not _END.search(s) and not any(w.lower() in _ANY_FUNCTION for w in _WORD.findall(s)) and not _SPEAKER.match(line):
+        elif n <= 6 and not _ends(s) and not any(w.lower() in _ANY_FUNCTION for w in _WORD.findall(s)) and not _SPEAKER.match(line):
             kinds.append("entry")
         else:
             kinds.append("text")
@@ -208,7 +215,9 @@ def line_kinds(lines: list[str], cells: list[int] | None = None) -> list[str]:
 
 #: A long line that begins with a letter and has none of this is running text.
 _NO_PROSE = re.compile(r"[|\t{}=<>»·;\\_]| {2}|^\S+$|,\S|\(\)|^[A-Z]+ ")
+_HEXADECIMAL = frozenset("0123456789abcdefABCDEF")
 _LINE_KINDS = ("text", "list", "table", "code", "junk", "entry", "navigation", "heading", "rule")
+_LINE_PLACE = {kind: k for k, kind in enumerate(_LINE_KINDS)}
 #: Upper ends of the classes of words in a line and of letters in a word.
 LINE_WORDS, WORD_LETTERS = (1, 2, 3, 5, 8, 12, 20, 40), (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 14, 20)
 _ENDS = {c: k for k, chars in enumerate((".!?…。！？।؟", ",;:、，", "{}()[]<>", "\"'`”’»", "|\\/=+-*_~#")) for c in chars}
@@ -240,36 +249,35 @@ def described(text: str | None) -> tuple[np.ndarray, dict]:
     far, language = word_divergence(counts, n, of_languages)
     cells = [_cells(x) for x in lines]
     kinds = line_kinds(lines, cells)
-    sizes, ends, starts, lengths, in_cells, by_kind = [], np.zeros(7), np.zeros(11), np.zeros(len(LINE_WORDS) + 1), np.zeros(3), dict.fromkeys(_LINE_KINDS, 0.0)
+    sizes, where = [], []
     for k, (line, kind) in enumerate(zip(lines, kinds)):
         s = line.strip()
-        size = len(s)
-        sizes.append(size)
-        last, first = s[-1], s[0]
-        ends[_ENDS.get(last, 5 if last.isalpha() else 6)] += size
-        starts[0 if _BULLET.match(line) else 1 if first.isupper() else 2 if first.isalpha() else 3 if first.isdigit() else _STARTS.get(first, 10)] += size
-        lengths[bisect_left(LINE_WORDS, len(s.split()))] += size
-        in_cells[0 if cells[k] < 2 else 2 if any(0 <= j < len(cells) and cells[j] == cells[k] for j in (k - 1, k + 1)) else 1] += size
-        by_kind[kind] += size
-    letters = np.zeros(len(WORD_LETTERS) + 1)
-    for word, times in counts.items():
-        letters[bisect_left(WORD_LETTERS, len(word))] += times
+        last, first, c = s[-1], s[0], cells[k]
+        sizes.append(len(s))
+        where.append((
+            _ENDS.get(last, 5 if last.isalpha() else 6), 0 if _BULLET.match(line) else 1 if first.isupper() else 2 if first.isalpha() else 3 if first.isdigit() else _STARTS.get(first, 10),
+            bisect_left(LINE_WORDS, len(s.split())), 0 if c < 2 else 2 if k and cells[k - 1] == c or cells[k + 1 : k + 2] == [c] else 1, _LINE_PLACE[kind],
+        ))
+    columns = zip(*where) if where else [()] * 5
+    ends, starts, lengths, in_cells, by_kind = (np.bincount(np.array(c, dtype=np.int64), sizes, m) for c, m in zip(columns, (7, 11, len(LINE_WORDS) + 1, 3, len(_LINE_KINDS))))
+    word_sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    letters = np.bincount(np.searchsorted(WORD_LETTERS, word_sizes), minlength=len(WORD_LETTERS) + 1)
     repeated = _repetition(lines, tokens)
     broken = ((0 if text.isascii() else len(_MOJIBAKE.findall(text))) + classes[CLASSES.index("broken")]) / n
     navigation = 10 * (sum(map(low.count, _PHRASES)) + sum(map(text.count, _CAPITALS))) / max(1, len(text))
-    groups = [classes, ends, starts, lengths, in_cells, letters, _share(known), _share(far), list(by_kind.values()), _share(repeated), _share(broken), _share(navigation), _share(5 * len(words) / max(1, len(text)))]
+    groups = [classes, ends, starts, lengths, in_cells, letters, _share(known), _share(far), by_kind, _share(repeated), _share(broken), _share(navigation), _share(5 * len(words) / max(1, len(text)))]
     out = np.concatenate([np.asarray(g, dtype=float) for g in groups])
     for a, b in zip(_EDGES, _EDGES[1:]):
         total = out[a:b].sum()
         out[a:b] = out[a:b] / total if total else 1 / (b - a)
     size, mass = max(1.0, classes.sum()), max(1.0, sum(sizes))
     common = sum(counts[w] for w in counts.keys() & _ANY_FUNCTION)
-    sentence = sum(bool(_END.search(x)) for x in lines)
+    sentence = sum(_ends(x.strip()) for x in lines)
     return out, {
-        "n_chars": len(text), "n_words": len(words), "n_lines": len(lines), "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
+        "n_chars": len(text), "n_words": len(words), "n_lines": len(lines), "mean_word_length": float(word_sizes.mean()) if words else 0.0,
         "symbol_ratio": float(classes[[CLASSES.index(c) for c in ("quote", "bracket", "operator", "rule", "broken")]].sum() / size), "digit_ratio": float(classes[CLASSES.index("digit")] / size),
         "line_end_share": sentence / len(lines) if lines else 0.0, "common_word_share": common / len(words) if words else 0.0, "repetition": repeated, "broken_ratio": broken,
-        "word_divergence": far, "language": language, **{f"share_{k}": v / mass for k, v in by_kind.items()},
+        "word_divergence": far, "language": language, **{f"share_{k}": float(v / mass) for k, v in zip(_LINE_KINDS, by_kind)},
     }
 
 
