@@ -1,10 +1,12 @@
 """Credentials embedded in source code, configuration, shell lines and chat.
 
-Context rules propose spans: the value assigned to a credential name, the argument of a command-line flag, the password
-of a URI, the body of a PEM block, a self-describing token. A span from a rule that also fits ordinary words has to be
-unnatural: few characters per subword under the vocabulary of a public tokenizer, as no language model's vocabulary
-has long pieces for random strings. References, masks, placeholders and plain words are then turned down. Redaction
-writes asterisks over each span, so every offset outside of it stays as it was.
+First all strings of a text are measured by their characters per subword under the vocabulary of a public tokenizer:
+words of languages and of code have long pieces in it, random strings and made-up passwords have none. Only the strings
+found unnatural that way can become credentials; a text without any is done. Context rules are then combined with the
+measure: the value assigned to a credential name, the argument of a command-line flag, the body of a PEM block, a
+vendor's prefix, or a word for a credential nearby. The more certain the context, the more natural a string may be; the
+password of a URI may even be a word. References, masks and placeholders are turned down. Redaction writes asterisks
+over each span, so every offset outside of it stays as it was.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ from pyspark.sql import functions as F
 
 TOKENIZER_DIR = "/opt/tokenizers"
 
-#: Characters per subword at or below which a string is unnatural; words of prose and of code have 3 to 6.
-UNNATURAL = 2.7
+#: Characters per subword at or below which a string is unnatural, by the strength of its context; words have 3 to 6.
+#: Strings of letters of one case have to be less natural than others, as rare words have short pieces too.
+STRONG, WEAK, NEARBY, LETTERS = 3.05, 2.85, 2.2, 1.9
+#: Letters of the shortest string that is measured, and its subwords: fewer are too few to tell.
+SHORTEST, SUBWORDS = 6, 3
 
 
 @functools.lru_cache(maxsize=4)
@@ -43,6 +48,26 @@ def chars_per_subword(text: str, directory: str = TOKENIZER_DIR) -> float:
     return len(text) / len(_encoder(directory).encode_ordinary(text)) if text else 0.0
 
 
+@functools.lru_cache(maxsize=1 << 18)
+def _measure(string: str, directory: str) -> float:
+    return len(string) / len(_encoder(directory).encode_ordinary(string))
+
+
+_STRING = re.compile(r"[^\s\"'`“”‘’<>(){}\[\],;|=:@/&?\\]{6,}")
+
+
+def unnatural_strings(text: str, directory: str = TOKENIZER_DIR) -> list[tuple[int, int, float]]:
+    """(start, end, characters per subword) of the strings of a text that are unnatural in the strongest context."""
+    out = []
+    for m in _STRING.finditer(text):
+        string = m[0]
+        # Long strings aren't kept in the cache; words are, as they come again and again.
+        mean = _measure(string, directory) if len(string) <= 32 else chars_per_subword(string, directory)
+        if mean <= STRONG and len(string) >= SUBWORDS * mean:
+            out.append((*m.span(), mean))
+    return out
+
+
 # The words that a credential's name ends with, and the words before `key` that make it one.
 _WORD = r"pass(?:word|phrase|wd|wort)?|pwd|secret|token|auth|credentials?"
 _KEY = r"(?:api|access|secret|private|encryption|signing|account|auth|master|shared|storage|subscription|license|ssh)[_.-]?key(?:[_.-]?id)?"
@@ -63,7 +88,7 @@ _RULES: list[tuple[str, bool, tuple[str, ...], str]] = [
     ("identified", False, ("identified",), rf"(?i)identified\s+(?:with\s+\w+\s+)?by\s+{_VALUE}"),
     ("environment", False, ("env",), rf"(?i)\benv\s+[\w.-]*{_NAME}\s+{_VALUE}"),
     ("named value", False, ("value:",), rf"(?i){_NAME}{_OPEN}?\s*\n\s*value:\s*{_VALUE}"),
-    ("default", False, ("default",), rf"(?is)variable\s+\"[\w.-]*{_NAME}\"\s*\{{[^}}]{{0,200}}?default\s*=\s*{_VALUE}"),
+    ("default", False, ("default",), rf"(?is)variable\s+\"[\w.-]*{_NAME}\"\s*\{{[^}}]*?default\s*=\s*{_VALUE}"),
     ("bare value", True, ("value", "default"), rf"(?i)^\s*(?:value|default)\s*[=:]\s*{_VALUE}"),
     ("long flag", False, ("--",), rf"(?i)--[\w-]*{_NAME}(?:\s+|=){_VALUE}"),
     ("password flag", True, ("-p", "-a", "-w"), rf"(?<![\w-])-[paw](?![a-z]+=)\s*{_VALUE}"),
@@ -99,7 +124,7 @@ _PEM = r"(?is)-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BE
 # Words that stand where a credential would.
 _PLACEHOLDER = re.compile(r"(?i)change_?me|your[-_]|example|placeholder|dummy|redacted|insert[-_]|replace[-_]|todo|<[^>]*>?|\*{3,}|x{6,}|\.{3,}|^(?:none|null|true|false|undefined|string|secret|password)$")
 _REFERENCE = re.compile(r"^(?:[$%#@]|\{\{|process\.env|os\.|env\.|ENV\[|getenv|vault:|ssm:|arn:|file:|/|\./|~/|https?:|[\w.]+\()|\$\{|\w\(|\w\[|\w\.\w+\(")
-_DIGIT, _LETTER, _MARK = re.compile(r"\d"), re.compile(r"[^\W\d_]"), re.compile(r"[^\w\s]|_")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 #: The hit that stands for the name of a credential, which rules with _NAME need besides their own literals.
@@ -132,23 +157,46 @@ def _compiled() -> tuple[list[re.Pattern], list[re.Pattern], re.Pattern]:
     return [re.compile(r[3]) for r in _RULES], [re.compile(rf"(?i)(?<![A-Z0-9]){shape}") for _, shape in _VENDOR], re.compile(_PEM)
 
 
+#: Names of code stand where a value would: constants, attributes, names in snake case.
+_IDENTIFIER = re.compile(r"[A-Z]+(?:_[A-Z]+)+|[A-Za-z]+(?:[._-][A-Za-z]+)+|[A-Z]{1,10}")
+#: In a weak context, words with a number (int64, pg-12), host names and words of one case are no credentials.
+_ORDINARY = re.compile(r"[\w-]+(?:\.[\w-]+)+|[a-z]+[-_/]?\d+|[A-Za-z]+[.!?]*")
+
+
+def _encoded(value: str, directory: str) -> bool:
+    """Whether a value that begins like a path is an encoded one: nothing but unnatural characters of several classes."""
+    return value[0] == "/" and bool(_MIXED.fullmatch(value)) and "." not in value and chars_per_subword(value, directory) <= LETTERS
+
+
 def credible(value: str, weak: bool, directory: str = TOKENIZER_DIR, certain: bool = False) -> bool:
-    """Whether a value in the place of a credential is one: no placeholder, reference, mask, word, number or path.
+    """Whether a value in the place of a credential is one: unnatural enough for the place, and no placeholder or reference.
 
     Where the place holds nothing but passwords (`certain`), a word is one too.
     """
+    if _PLACEHOLDER.search(value) or (_REFERENCE.search(value) and not _encoded(value, directory)):
+        return False
     if certain:
-        return len(value) >= 4 and not _PLACEHOLDER.search(value) and not _REFERENCE.search(value)
-    if len(value) < 6 or _PLACEHOLDER.search(value) or _REFERENCE.search(value) or not _LETTER.search(value):
+        return len(value) >= 4
+    if len(value) < SHORTEST or not _LETTER.search(value) or _IDENTIFIER.fullmatch(value):
+        return False
+    mean = _measure(value, directory) if len(value) <= 32 else chars_per_subword(value, directory)
+    if value.isalpha() and (value.islower() or value.istitle()):
+        return not weak and mean <= LETTERS and len(value) >= 8
+    if weak:
+        return mean <= WEAK and len(value) >= 8 and not _ORDINARY.fullmatch(value)
+    return mean <= STRONG
+
+
+#: What stands before a string that only a word nearby makes a credential: such a word in one of several languages.
+_NEAR_WORD = re.compile(r"(?i)(?<![a-z])(?:pass(?:word|wort|phrase|code)?|pw|pwd|secret|token|credentials?|api[ _-]?key|kennwort|zugangsdaten|geheimnis|mot de passe|jeton|contrase[ñn]a|clave|palabra clave)(?![a-z])[^\n\w]{0,20}(?:(?:is|was|are|ist|lautet|est|es|now|for|the|new|old|neue|nouveau|nueva)[^\n\w]{1,5}){0,3}$")
+_MIXED = re.compile(r"(?=.*\d)(?=.*[a-z])(?=.*[A-Z])[\w+/=!@#$%^&*~.-]{10,}")
+
+
+def nearby(text: str, start: int, string: str, mean: float) -> bool:
+    """Whether an unnatural string without a rule is a credential: mixed characters right after a word for one."""
+    if mean > NEARBY or not _MIXED.fullmatch(string) or _PLACEHOLDER.search(string) or _REFERENCE.search(string):
         return False
-    digit = bool(_DIGIT.search(value))
-    if digit and not weak:
-        return True
-    unnatural = chars_per_subword(value, directory) <= UNNATURAL
-    if not digit:
-        return unnatural and len(value) >= 12 and not re.fullmatch(r"[A-Z_.-]+|[a-z_.-]+|[A-Za-z]+(?:_[A-Za-z]+)+", value)
-    # A word with a number (int64, pg-12, sha256sum) isn't enough where the context fits prose and other flags.
-    return len(value) >= 8 and (unnatural or bool(_MARK.search(value))) and not re.fullmatch(r"[\w-]+(?:\.[\w-]+)+|[a-z]+[-_/]?\d+", value)
+    return bool(_NEAR_WORD.search(text, max(0, start - 80), start))
 
 
 def _worth_running(text: str) -> set[int]:
@@ -166,7 +214,11 @@ def find_credentials(text: str | None, directory: str = TOKENIZER_DIR) -> list[t
     if not text:
         return []
     hits = _worth_running(text)
-    if not hits:
+    strings = unnatural_strings(text, directory)
+    if not strings:
+        # Nothing to find but passwords that may be words.
+        hits = {k for k in hits if k < 100 and _RULES[k][0] in _CERTAIN}
+    if not hits and not strings:
         return []
     rules, vendors, pem = _compiled()
     spans: list[tuple[int, int, str]] = []
@@ -187,6 +239,10 @@ def find_credentials(text: str | None, directory: str = TOKENIZER_DIR) -> list[t
                     value = _trimmed(value, name)
                 if credible(value, weak, directory, name in _CERTAIN):
                     spans.append((start, start + len(value), name))
+    for a, b, mean in strings:
+        b -= len(text[a:b]) - len(text[a:b].rstrip(".!?*"))
+        if all(b <= x or a >= y for x, y, _ in spans) and nearby(text, a, text[a:b], mean):
+            spans.append((a, b, "nearby"))
     spans.sort(key=lambda s: (s[0] - s[1], s[0]))
     kept: list[tuple[int, int, str]] = []
     for start, end, name in spans:
@@ -258,6 +314,6 @@ def shown_in_redaction(findings: DataFrame, *, record: str = "finding_id", direc
                     redacted.append(functools.reduce(lambda t, v: t.replace(v, re.sub(r"[^\r\n]", "*", v)), values, shown))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(secrets, pa.list_(pa.string())), pa.array(redacted, pa.string())], ["record", "secrets", "redacted"])
 
-    # A redaction of four characters and asterisks shows no credential in full: those rows needn't be scanned.
-    shown = findings.where(F.length("redacted_text") >= 6).where(~F.col("redacted_text").rlike(r"(?s)^.{0,4}\*+\.*$"))
+    # A redaction of up to four characters and asterisks shows no credential in full: those rows needn't be scanned.
+    shown = findings.where(F.length("redacted_text") >= 4).where(~F.col("redacted_text").rlike(r"(?s)^.{0,4}\*+\.*$"))
     return shown.select(record, "matched_text", "redacted_text").mapInArrow(run, f"record {kind}, secrets array<string>, redacted string").withColumnRenamed("record", record)

@@ -29,3 +29,33 @@ def test_the_gate_opens_for_every_rule():
         fitting = {k for k, r in enumerate(rules) if r.search(text)} | {100 + k for k, r in enumerate(vendors) if r.search(text)} | ({200} if pem.search(text) else set())
         assert fitting <= credentials._worth_running(text), text
     assert credentials.find_credentials("run -profile=dev-2x! now") == []
+
+
+def test_the_measure_decides(monkeypatch):
+    """Without natural strings everything assigned is found; without unnatural ones only passwords of URIs are."""
+    texts = ['token = "kTr!pqWz"', "password = 'snippet'", 'secret: "conversation"', "Das Kennwort lautet: Zk39QmPw2rT7yU1i", "postgres://svc:harbor@db/x", "api_key: 9fK2mQ7xW1pL4sV8"]
+    found = [len(credentials.find_credentials(t)) for t in texts]
+    assert found == [1, 0, 0, 1, 1, 1]
+    monkeypatch.setattr(credentials, "_measure", lambda s, d: 1.0)
+    assert sum(len(credentials.find_credentials(t)) for t in texts) > sum(found)
+    monkeypatch.setattr(credentials, "_measure", lambda s, d: 9.0)
+    assert [len(credentials.find_credentials(t)) for t in texts] == [0, 0, 0, 0, 1, 0]
+
+
+def test_redaction_keeps_offsets_and_everything_else():
+    text = 'a = 1\npassword = "Zk39QmPw2rT7yU1i"\r\n# tail €😀'
+    spans = credentials.find_credentials(text)
+    masked = credentials.redact(text, spans)
+    assert [text[a:b] for a, b, _ in spans] == ["Zk39QmPw2rT7yU1i"] and len(masked) == len(text)
+    assert masked.replace("*" * 16, "Zk39QmPw2rT7yU1i") == text
+
+
+def test_tables(spark):
+    secret = "Zk39QmPw2rT7yU1i"
+    rows = [(1, f'password = "{secret}"', "x"), (1, f'password = "{secret}"', "x"), (2, None, "x"), (3, "", "x"), (4, "word " * 40_000 + f'token="{secret}"', "x"), (5, 'variable "db_password" {\n' + "  # note\n" * 60 + f'  default = "{secret}"\n}}', "x")]
+    texts = spark.createDataFrame(rows, "message_id bigint, text string, secrets string")
+    got = sorted(((r.message_id, r.secrets) for r in credentials.scan_texts(texts).collect()), key=str)
+    assert got == sorted([(1, [secret]), (1, [secret]), (2, []), (3, []), (4, [secret]), (5, [secret])], key=str)
+    assert credentials.scan_texts(texts.limit(0)).count() == 0
+    findings = spark.createDataFrame([(1, f'pw: "{secret}"', f'pw: "{secret}"'), (2, f'pw = "{secret}"', "pw =****..."), (3, "postgres://a:Zk3q@h/x", "Zk3q"), (4, None, None), (5, f'password = "{secret}"', "")], "finding_id bigint, matched_text string, redacted_text string")
+    assert sorted((r.finding_id, r.secrets) for r in credentials.shown_in_redaction(findings).collect()) == [(1, [secret]), (3, ["Zk3q"])]
