@@ -1,10 +1,13 @@
 """Personal data of people in free text, replaced by typed placeholders.
 
 High-recall generators propose overlapping spans of five types. Boosted trees score each span from its format and its
-context, and a calibrated threshold for each type selects; of overlapping spans of which several pass, the best stays.
-The trees are fitted when the query runs, on a bounded sample of messages: a candidate's label is that of a recorded
-finding of the same text in the same message, else that of labelling rules. A few written sentences are always among
-the sample, so that every type has examples of both classes however small the table is.
+context, and a threshold for each type, calibrated on messages that the trees weren't fitted to, selects; of overlapping
+spans of which several pass, the likeliest and then the longest stays.
+
+The trees are fitted when the query runs, on a bounded sample of messages. Labels of mail addresses and of telephone and
+identity numbers are the recorded findings of category PII alone, in messages that have some: no rule is asked. No
+finding records names and addresses; their labels are the votes of labelling rules. A few written sentences are always
+among the sample, so that every type has examples of both classes however small the table is.
 """
 
 from __future__ import annotations
@@ -82,6 +85,7 @@ _WORD = re.compile(rf"{_PART}|[A-Z]\.")
 FEATURES = (
     *TYPES, "length", "digits", "words", "upper", "id_cue", "other_cue", "phone_cue", "address_cue", "name_cue", "title", "enclosed", "role", "machine", "given_first", "given_any", "ordinary",
     "mail_match", "initial", "lower_next", "starts_sentence", "separators", "plus", "shape", "spelled", "uri_before", "comma", "word_before", "beside",
+    "odd", "service", "local",
 )
 _PLACE = {name: k for k, name in enumerate(FEATURES)}
 
@@ -140,10 +144,8 @@ def candidates(text: str | None, given: frozenset[str]) -> list[Candidate]:
             tail = host.rsplit(".", 1)[-1]
             # A sentence has "at" before abbreviations and numbers too.
             odd = not tail.isalpha() or len(tail) < 2 or spelled and (len(local) < 4 or len(tail) < 3)
-            if odd:
-                continue
             service = bool(re.match(r"(?:app|batch|deploy|ro|svc|build|git)[_:]?", local)) and "_" in local and machine
-            add("email", start, m.end(), not (role or machine or uri or odd or service), role=role, machine=machine, spelled=spelled, uri_before=uri, plus="+" in local)
+            add("email", start, m.end(), not (role or machine or uri or odd or service), role=role, machine=machine, spelled=spelled, uri_before=uri, plus="+" in local, odd=odd, service=service, local=len(local))
             locals_.append(local)
     digits = any(c.isdigit() for c in text)
     if digits:
@@ -232,11 +234,11 @@ class Model:
     thresholds: dict[str, float]
 
 
-def fit(rows: list[tuple[tuple[float, ...], int]]) -> Model:
-    """Fits the trees to four fifths of (features, label) rows and calibrates a threshold for each type on all of them."""
+def fit(rows: list[tuple[tuple[float, ...], int, bool]]) -> Model:
+    """Fits the trees to (features, label, held) rows that aren't held, and calibrates a threshold for each type on those that are."""
     x, y = np.array([r[0] for r in rows], dtype=float).reshape(len(rows), len(FEATURES)), np.array([r[1] for r in rows], dtype=float)
-    held = np.arange(len(y)) % 5 == 4
-    trees = BoostedTrees().fit(x[~held], y[~held])
+    held = np.array([r[2] for r in rows], dtype=bool)
+    trees = BoostedTrees(rounds=60).fit(x[~held], y[~held])
     p, limits = trees.predict(x), {}
     for k, kind in enumerate(TYPES):
         own = (x[:, k] == 1) & held
@@ -268,30 +270,57 @@ def _letters(text: str | None) -> str:
     return re.sub(r"[\W_]+", "", text or "").lower()
 
 
-def training_rows(messages: DataFrame, findings: DataFrame | None, given: frozenset[str], sample_rows: int, *, record: str, text: str) -> list[tuple[tuple[float, ...], int]]:
-    """Features and labels of the candidates of at most `sample_rows` messages, picked by a hash of their ids."""
-    sample = messages.where(F.length(text) > 0).select(record, text).where(F.pmod(F.xxhash64(record), F.lit(8)) == 0).limit(sample_rows)
+#: Messages of which one in so many is held back from the trees to calibrate the thresholds.
+HELD = 5
+
+
+def training_rows(messages: DataFrame, findings: DataFrame | None, names: DataFrame, sample_rows: int, *, record: str, text: str) -> list[tuple[tuple[float, ...], int, bool]]:
+    """(features, label, held) of the candidates of at most `sample_rows` messages, those with the least hashes of their ids.
+
+    Half of them are messages with recorded findings. Without any findings table the rules label all types.
+    """
+    order = F.xxhash64(F.lit(7), record)
+    chosen = messages.where(F.length(text) > 0).select(record).distinct().orderBy(order, record).limit(sample_rows // 2).withColumn("known", F.lit(None).cast("array<string>"))
     if findings is not None:
-        # Recorded findings of personal data, by message; the sample is small, so it is what gets broadcast.
         kind = F.regexp_replace(F.lower("pattern_id"), "[^a-z]", "")
         types = F.create_map(*(F.lit(x) for pair in FINDING_TYPES.items() for x in pair))
-        known = findings.where(kind.isin(*FINDING_TYPES)).select(F.col(record).alias("_id"), F.concat_ws(" ", types[kind], F.col("matched_text")).alias("_known"))
-        sample = F.broadcast(sample).join(known, F.col(record) == F.col("_id"), "inner").select(record, text, "_known").unionByName(sample.withColumn("_known", F.lit(None).cast("string")))
-        sample = sample.groupBy(record, text).agg(F.collect_set("_known").alias("known"))
-    else:
-        sample = sample.withColumn("known", F.array().cast("array<string>"))
+        personal = F.coalesce(F.regexp_replace(F.lower("category"), "[^a-z]", ""), F.lit("pii")) == "pii"
+        sure = findings.where(personal & kind.isin(*FINDING_TYPES) & F.col(record).isNotNull()).select(record, F.concat(types[kind], F.col("matched_text")).alias("one"))
+        few = sure.select(record).distinct().orderBy(order, record).limit(sample_rows // 2)
+        recorded = sure.join(F.broadcast(few), record).groupBy(record).agg(F.collect_set("one").alias("known"))
+        chosen = chosen.join(F.broadcast(few), record, "left_anti").unionByName(recorded)
+    sample = messages.where(F.length(text) > 0).select(record, text).join(F.broadcast(chosen), record).dropDuplicates([record])
+    sample = sample.withColumn("held", F.pmod(F.xxhash64(record), F.lit(HELD)) == 0)
+    listed = _listed(sample, names, record=record, text=text)
+    rules = findings is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sure = {_letters(k) for k in known or []}
-                rows += [(list(c.features), int(c.vote or _letters(c.kind + value[c.start : c.end]) in sure)) for c in candidates(value, given)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32())], ["features", "label"])
+            for value, known, held, given in zip(*(c.to_pylist() for c in batch.columns)):
+                sure = None if known is None else {_letters(k) for k in known}
+                for c in candidates(value, frozenset(given or ())):
+                    by_rule = rules or c.kind in ("name", "address")
+                    if by_rule or sure is not None:
+                        rows.append((list(c.features), c.vote if by_rule else int(_letters(c.kind + value[c.start : c.end]) in sure), held))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.bool_())], ["features", "label", "held"])
 
-    rows = sample.select(text, "known").mapInArrow(run, "features array<double>, label int").collect()
-    rows = sorted((tuple(r[0]), r[1]) for r in rows)
-    return rows + [(c.features, c.vote) for s in SEED for c in candidates(s, given | {"alice", "peter", "laura", "nora", "hope", "may", "grace", "art", "frank"}) for _ in range(5)]
+    rows = listed.select(text, "known", "held", "listed").mapInArrow(run, "features array<double>, label int, held boolean").collect()
+    rows = sorted((tuple(r[0]), r[1], r[2]) for r in rows)
+    given = frozenset({"alice", "peter", "laura", "nora", "hope", "may", "grace", "art", "frank"})
+    return rows + [(c.features, c.vote, False) for s in SEED for c in candidates(s, given) for _ in range(5)]
+
+
+def _listed(texts: DataFrame, names: DataFrame, *, record: str, text: str) -> DataFrame:
+    """`texts` with `listed`: those of a text's capitalised words that are listed given names, by a join on the words.
+
+    This way takes any number of names; words are made distinct in each text before they are shuffled.
+    """
+    word = F.lower(F.regexp_replace(F.col("word"), "['’].*$", ""))
+    words = texts.select(record, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{Lu}][\p{L}'’-]*"), F.lit(0)))).alias("word"))
+    words = words.select(record, F.explode(F.array(F.lower("word"), word)).alias("word")).distinct()
+    found = words.join(names.select(F.lower("given_name").alias("word")).distinct(), "word", "left_semi").groupBy(record).agg(F.collect_set("word").alias("listed"))
+    return texts.join(found, record, "left")
 
 
 _FOUND = "items array<struct<start:int,type:string,value:string>>, masked string"
@@ -302,23 +331,25 @@ def scan_texts(
 ) -> DataFrame:
     """record, items, masked: of every text the personal data in it and the text with typed placeholders.
 
-    `given_names` is a list of common given names (column given_name); at most `most_names` of them are read, more
-    raise a ValueError. `findings` (record, pattern_id, matched_text) adds labels to the training sample of at most
-    `sample_rows` messages. A null text has null in `masked` and no items. Rows keep their number; other columns are
-    left out.
+    `given_names` is a list of given names (column given_name): up to `most_names` every executor holds them, more are
+    joined to the words of the texts. `findings` (record, pattern_id, category, matched_text) gives the labels of the
+    training sample of at most `sample_rows` messages. A null text has null in `masked` and no items. Rows keep their
+    number; other columns are left out.
     """
-    names = [r[0] for r in given_names.select("given_name").where("given_name IS NOT NULL").distinct().limit(most_names + 1).collect()]
-    if len(names) > most_names:
-        raise ValueError(f"more than {most_names} given names")
-    given = frozenset(n.lower() for n in names)
-    model = fit(training_rows(messages, findings, given, sample_rows, record=record, text=text))
+    names = given_names.select("given_name").where("given_name IS NOT NULL").distinct()
+    held = [r[0].lower() for r in names.limit(most_names + 1).collect()]
+    model = fit(training_rows(messages, findings, names, sample_rows, record=record, text=text))
     kind = messages.schema[record].dataType.simpleString()
+    every = frozenset(held) if len(held) <= most_names else None
+    fitted = messages.sparkSession.sparkContext.broadcast((model, every))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = pa.struct([("start", pa.int32()), ("type", pa.string()), ("value", pa.string())])
+        model, every = fitted.value
         for batch in batches:
             values = batch.column(1).to_pylist()
-            proposed = [candidates(v, given) for v in values]
+            given = [every] * len(values) if every is not None else [frozenset(g or ()) for g in batch.column(2).to_pylist()]
+            proposed = [candidates(v, g) for v, g in zip(values, given)]
             x = np.array([c.features for cs in proposed for c in cs], dtype=float).reshape(-1, len(FEATURES))
             p, at, spans = model.trees.predict(x), 0, []
             for v, cs in zip(values, proposed):
@@ -328,4 +359,7 @@ def scan_texts(
             out = [masked(v, s) if s else v for v, s in zip(values, spans)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(item)), pa.array(out, pa.string())], ["record", "items", "masked"])
 
-    return messages.select(record, text).mapInArrow(run, f"record {kind}, {_FOUND}").withColumnRenamed("record", record)
+    rows = messages.select(record, text)
+    if every is None:
+        rows = _listed(rows, names, record=record, text=text).select(record, text, "listed")
+    return rows.mapInArrow(run, f"record {kind}, {_FOUND}").withColumnRenamed("record", record)
