@@ -4,7 +4,9 @@ Progressive partition refinement: all rows are first put into classes by what is
 length of the letters and digits and their histogram. Only rows of classes with several members get the next, costlier
 key: the letters and digits in order, with named fields sorted. No class is ever gathered in one task: classes are
 counted by partial aggregation, and rows meet the counts by a shuffle join, except those of the few heaviest classes
-(each over a thousandth of all rows, so at most a thousand), which meet them by broadcast.
+(each over a thousandth of all rows, so at most a thousand), which meet them by broadcast. Rows with the same letters in
+order may read as different fields, and rows with the same fields have different orders: classes that meet that way are
+joined until none is left.
 """
 
 from __future__ import annotations
@@ -50,10 +52,12 @@ def fields_key(text: Column) -> Column:
     return F.when(text.rlike(_JSON), joined(F.split(text, _JSON_COMMA))).when(text.rlike(_URL), url).when(text.rlike(_PAIRS), joined(F.split(text, ";")))
 
 
-def _met(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataFrame:
-    """Rows with the columns of their class, none of them dropped but those whose class isn't in `classes`."""
+def _met(rows: DataFrame, classes: DataFrame, key: str, total: int, of: str | None = None) -> DataFrame:
+    """Rows with the columns of their class, or only its column `of`; those whose class isn't in `classes` are dropped."""
     heavy = classes.where(F.col("n") > max(1.0, HEAVY * total))
     light = classes.where(F.col("n") <= max(1.0, HEAVY * total))
+    if of:
+        heavy, light = heavy.select(key, of), light.select(key, of)
     names = [r[0] for r in heavy.select(key).limit(int(1 / HEAVY) + 1).collect()]
     if not names:
         return rows.join(light, key)
@@ -86,10 +90,31 @@ def formatting_duplicates(
     fields = fields_key(F.col("text"))
     rows = rows.select("id", F.sha2(in_order, 256).alias("in_order"), F.when(fields.isNotNull(), F.sha2(F.concat(fields, F.lit("|"), rest), 256)).alias("by_fields"))
     rows = written(rows, "keyed")
-    # The same letters in order are copies whether or not both read as fields: they take the key of either.
-    orders = rows.groupBy("in_order").agg(F.coalesce(F.min("by_fields"), F.first("in_order")).alias("key"), F.min("id").alias("first"), F.count("*").alias("n"))
-    orders = written(orders, "orders")
+    # One row for each reading of each order, however many copies it has.
+    pairs = rows.groupBy("in_order", F.coalesce("by_fields", "in_order").alias("reading")).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    pairs = written(pairs, "readings")
+    keys = _classes(pairs, total)
+    orders = _met(pairs, keys, "in_order", total, of="key")
     groups = orders.groupBy("key").agg(F.min("first").alias("keep_id"), F.sum("n").alias("copies")).where("copies > 1")
-    orders = orders.join(groups, "key").select("in_order", "keep_id", "copies", "n")
+    orders = _met(keys.select("in_order", "key"), groups.withColumn("n", F.col("copies")), "key", total).select("in_order", "keep_id", "copies", F.col("copies").alias("n"))
     found = _met(rows.select("id", "in_order"), orders, "in_order", total)
     return found.where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"), "copies")
+
+
+def _classes(pairs: DataFrame, total: int) -> DataFrame:
+    """in_order, key, n: the class of every order. Orders of one reading are of one class, and so are readings of one order.
+
+    The least reading spreads over what it meets until nothing changes; an order with several readings is rare, so there
+    is mostly nothing to spread.
+    """
+    keys = pairs.groupBy("in_order").agg(F.min("reading").alias("key"), F.max("reading").alias("last"), F.sum("n").alias("n"))
+    several = not keys.where("key <> last").limit(1).isEmpty()
+    keys = keys.drop("last")
+    while several:
+        readings = _met(pairs.select("in_order", "reading"), keys, "in_order", total)
+        least = readings.groupBy("reading").agg(F.min("key").alias("least"), F.sum("n").alias("n"))
+        spread = _met(pairs.select("in_order", "reading"), least, "reading", total).groupBy("in_order").agg(F.min("least").alias("key"))
+        after = written(keys.withColumnRenamed("key", "before").join(spread, "in_order"), "classes")
+        several = not after.where("key <> before").limit(1).isEmpty()
+        keys = after.select("in_order", "key", "n")
+    return keys
