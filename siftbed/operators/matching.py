@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from siftbed.functions import secrets as S
 from siftbed.operators.catalog import Rule, anchors, catalog, catalog_frame
+from siftbed.session import spread
 
 #: Characters on each side of a match in which a keyword counts, after it in which a longer key shows, and of a context.
 NEAR, AFTER, CONTEXT = 200, 25, 200
@@ -165,7 +166,7 @@ def candidates(messages: DataFrame, rules: tuple[Rule, ...] | None = None, key:
 
     source = messages.select(key, text)
     schema = f"`{key}` {source.schema[0].dataType.simpleString()}, place int, match_start int, matched_text string, surroundings string, following string, line_number int, context string"
-    return source.where(F.length(text) > 0).mapInArrow(scan, schema)
+    return spread(source.where(F.length(text) > 0)).mapInArrow(scan, schema)
 
 
 def _as_batch(batch: pa.RecordBatch, keys: list, columns: list[list], key: str) -> pa.RecordBatch:

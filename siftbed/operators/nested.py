@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftbed.session import spread
+
 # The keys whose strings are texts of a session, and the key below which every string is one.
 TEXT_KEYS = ("text", "content", "display", "message", "prompt", "output", "arguments")
 INPUT_KEY = "input"
@@ -209,7 +211,7 @@ def flatten(records: DataFrame, *, record: str = "raw_id", payload: str = "paylo
             yield _rows(batch, places, rows)
 
     keys = ", ".join(f"{k} string" for k in _KEYS)
-    return records.select(record, *keep, payload).mapInArrow(run, f"{kept}, {keys}, columns {_COLUMNS}")
+    return spread(records.select(record, *keep, payload)).mapInArrow(run, f"{kept}, {keys}, columns {_COLUMNS}")
 
 
 #: Rows, and characters of their paths, of a batch that leaves the task.

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from siftbed.session import small, written
+from siftbed.session import small, spread, written
 
 # The English month names in order.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -364,7 +364,7 @@ def normalise_timestamps(
     """
     declared = small(sources.select(F.col(source).alias("source"), "zone_name", "date_order").dropDuplicates(["source"]), most_sources)
     rows = records.select(F.col(record).alias("record"), F.col(source).alias("source"), F.col(seq).cast("bigint").alias("seq"), F.col(value).alias("value"))
-    rows = rows.join(declared, "source", "left").withColumn("source", F.coalesce("source", F.lit("")))
+    rows = spread(rows).join(declared, "source", "left").withColumn("source", F.coalesce("source", F.lit("")))
     kind = rows.schema["record"].dataType.simpleString()
     rows = rows.mapInArrow(_interpreted, f"record {kind}, source string, seq bigint, epochs array<bigint>, formats array<int>, costs array<double>, settled boolean")
     rows = written(rows, "interpretations")

@@ -55,3 +55,15 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
     Costs one bounded count; use it for dimension tables only.
     """
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, as of a file of few row groups, over all cores; else `df` as it is.
+
+    For what is costly per row. Only the file listing is looked at: a plan with a shuffle is left alone.
+    """
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
