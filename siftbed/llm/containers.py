@@ -16,8 +16,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siftbed.llm.credentials import TOKENIZER_DIR
+from siftbed.session import spread
 
 #: Containers of one kind that a task holds open at once.
 OPEN = 64
@@ -81,16 +83,24 @@ def pieces(size: int, capacity: int) -> list[tuple[int, int]]:
     return [(at, min(capacity, size - at)) for at in range(0, size, capacity)] or [(0, 0)]
 
 
-def packed(documents: DataFrame, container_sizes: DataFrame, *, record: str = "doc_id", text: str = "text", most_open: int = OPEN, most_kinds: int = 1_000, directory: str = TOKENIZER_DIR) -> DataFrame:
+def packed(documents: DataFrame, container_sizes: DataFrame, *, record: str = "doc_id", text: str = "text", most_open: int = OPEN, block: int = 100, directory: str = TOKENIZER_DIR) -> DataFrame:
     """container_kind, container_id, record, piece, start_token, n_tokens: for each kind the container of every document.
 
     Documents over the capacity have a row for each piece, in order from 0; all others have one. Null and empty texts
     have no tokens and take no room. `container_id` is unique within its kind. Rows of `container_sizes` without a kind
-    or a positive capacity, and more than `most_kinds` rows, raise a ValueError.
+    or a positive capacity are left out, and of several capacities of a kind the least holds. The kinds are packed in
+    blocks of `block`, each a pass over the documents, so any number of them is.
     """
-    sizes = sorted((r[0] or "", r[1] or 0) for r in container_sizes.select("container_kind", "capacity_tokens").distinct().limit(most_kinds + 1).collect())
-    if len(sizes) > most_kinds or any(not k or c < 1 for k, c in sizes) or len({k for k, _ in sizes}) < len(sizes):
-        raise ValueError("container_sizes needs one positive capacity for each kind")
+    kept = container_sizes.where("container_kind IS NOT NULL AND capacity_tokens > 0").groupBy("container_kind").agg(F.min("capacity_tokens").alias("capacity"))
+    blocks = max(1, -(-kept.count() // block))
+    passes = []
+    for k in range(blocks):
+        own = kept if blocks == 1 else kept.where(F.pmod(F.xxhash64("container_kind"), F.lit(blocks)) == k)
+        passes.append(_packed(documents, sorted((r[0], r[1]) for r in own.collect()), record, text, most_open, directory))
+    return functools.reduce(DataFrame.unionByName, passes)
+
+
+def _packed(documents: DataFrame, sizes: list[tuple[str, int]], record: str, text: str, most_open: int, directory: str) -> DataFrame:
     kind = documents.schema[record].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,4 +114,4 @@ def packed(documents: DataFrame, container_sizes: DataFrame, *, record: str = "d
             yield pa.RecordBatch.from_arrays(arrays, ["container_kind", "container_id", "record", "piece", "start_token", "n_tokens"])
 
     fields = f"container_kind string, container_id bigint, record {kind}, piece int, start_token int, n_tokens int"
-    return documents.select(record, text).mapInArrow(run, fields).withColumnRenamed("record", record)
+    return spread(documents.select(record, text)).mapInArrow(run, fields).withColumnRenamed("record", record)

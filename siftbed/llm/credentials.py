@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftbed.session import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 
 #: Characters per subword at or below which a string is unnatural, by the strength of its context; words have 3 to 6.
@@ -289,7 +291,7 @@ def scan_texts(texts: DataFrame, *, record: str = "message_id", text: str = "tex
             redacted = pa.array([redact(v, s) if s else v for v, s in zip(values, found)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, redacted], ["record", "secrets", "starts", "rules", "redacted"])
 
-    return texts.select(record, text).mapInArrow(run, f"record {kind}, {_FOUND}").withColumnRenamed("record", record)
+    return spread(texts.select(record, text)).mapInArrow(run, f"record {kind}, {_FOUND}").withColumnRenamed("record", record)
 
 
 def shown_in_redaction(findings: DataFrame, *, record: str = "finding_id", directory: str = TOKENIZER_DIR) -> DataFrame:
@@ -316,4 +318,4 @@ def shown_in_redaction(findings: DataFrame, *, record: str = "finding_id", direc
 
     # A redaction of up to four characters and asterisks shows no credential in full: those rows needn't be scanned.
     shown = findings.where(F.length("redacted_text") >= 4).where(~F.col("redacted_text").rlike(r"(?s)^.{0,4}\*+\.*$"))
-    return shown.select(record, "matched_text", "redacted_text").mapInArrow(run, f"record {kind}, secrets array<string>, redacted string").withColumnRenamed("record", record)
+    return spread(shown.select(record, "matched_text", "redacted_text")).mapInArrow(run, f"record {kind}, secrets array<string>, redacted string").withColumnRenamed("record", record)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftbed.llm.boosting import BoostedTrees, best_threshold
+from siftbed.session import spread
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Rules of recorded findings, without their separators, by the type of what they find.
@@ -359,7 +360,7 @@ def scan_texts(
             out = [masked(v, s) if s else v for v, s in zip(values, spans)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(item)), pa.array(out, pa.string())], ["record", "items", "masked"])
 
-    rows = messages.select(record, text)
+    rows = spread(messages.select(record, text))
     if every is None:
         rows = _listed(rows, names, record=record, text=text).select(record, text, "listed")
     return rows.mapInArrow(run, f"record {kind}, {_FOUND}").withColumnRenamed("record", record)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftbed.llm.profile_texts import SEEDS
+from siftbed.session import spread
 
 KINDS = ("prose", "list", "table", "code", "junk")
 
@@ -393,5 +394,5 @@ def text_statistics(
                 rows = [s | {"profile_distance": d, "kind": k if (v or "").strip() else "junk"} for (_, s), d, k, v in zip(both, far, found, values)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], types[t]) for c, t in _COLUMNS.items())], ["record", *_COLUMNS])
 
-    out = documents.select(record, text).mapInArrow(run, f"record {kind}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items()))
+    out = spread(documents.select(record, text)).mapInArrow(run, f"record {kind}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items()))
     return out.withColumnRenamed("record", record)

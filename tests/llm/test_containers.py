@@ -50,3 +50,29 @@ def test_every_document_has_its_containers():
             n, found = containers.n_tokens(text), sorted(of[kind, doc])
             assert [p for p, _, _ in found] == list(range(max(1, -(-n // capacity))))
             assert [(s, x) for _, s, x in found] == containers.pieces(n, capacity) and sum(x for _, _, x in found) == n
+
+
+def test_containers_are_full_and_no_document_is_split_that_fits(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sizes = spark.read.parquet("/root/testdata/sf0.1/container_sizes.parquet")
+    capacity = {r.container_kind: r.capacity_tokens for r in sizes.collect()}
+    rows = containers.packed(documents, sizes).toPandas()
+    filled = rows.groupby(["container_kind", "container_id"])["n_tokens"].sum().reset_index()
+    whole = rows.groupby(["container_kind", "doc_id"]).agg(n=("n_tokens", "sum"), pieces=("piece", "count")).reset_index()
+    assert len(whole) == 3 * documents.count()
+    for kind, most in capacity.items():
+        own = filled[filled.container_kind == kind]["n_tokens"]
+        print(kind, f"fill {own.sum() / (most * len(own)):.4f}")
+        assert own.max() <= most and own.sum() / (most * len(own)) >= 0.97
+        of = whole[whole.container_kind == kind]
+        assert (of.pieces == (-(-of.n // most)).clip(lower=1)).all()
+
+
+def test_odd_kinds_and_empty_tables(spark):
+    documents = spark.createDataFrame([(1, "one two", "x"), (1, "one two", "x")], "doc_id bigint, text string, container_kind string")
+    sizes = spark.createDataFrame([("a", 8), ("a", 4), (None, 5), ("b", None), ("c", 0), ("d", -1)], "container_kind string, capacity_tokens int")
+    rows = containers.packed(documents, sizes).collect()
+    assert [(r.container_kind, r.doc_id, r.n_tokens) for r in rows] == [("a", 1, 2)] * 2
+    assert containers.packed(documents.limit(0), sizes).count() == 0 == containers.packed(documents, sizes.limit(0)).count()
+    many = spark.createDataFrame([(f"k{i}", 10 + i) for i in range(7)], "container_kind string, capacity_tokens int")
+    assert containers.packed(documents, many, block=2).select("container_kind").distinct().count() == 7
