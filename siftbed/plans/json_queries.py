@@ -129,3 +129,41 @@ SQL = {
     "src_jsonl_history": f"{_RECORDS} SELECT raw_id, nth::INT AS nth, r ->> '$.display' AS text, coalesce({_string('json_extract(r, ' + chr(39) + '$.sessionId' + chr(39) + ')')}, 'unknown') AS conversation_id, "
     f"CASE WHEN json_type({_MS}) = 'VARCHAR' THEN epoch_us(TRY_CAST(r ->> '$.timestamp' AS TIMESTAMPTZ)) ELSE ({_MS}::DOUBLE * 1000)::BIGINT END AS us FROM records WHERE json_type(json_extract(r, '$.display')) = 'VARCHAR' AND r ->> '$.display' <> ''",
 }
+
+
+def _at(value: str, path: str) -> str:
+    return f"json_extract({value}, '{path}')"
+
+
+_PAYLOAD = _at("r", "$.payload")
+_HISTORY = _at("j", "$.history")
+_TOOL_VALUES = " UNION ALL ".join(
+    f"SELECT raw_id, nth, 'tool' AS role, {_string(_at(_PAYLOAD, '$.' + k))} AS text, 10 AS least, kind FROM typed UNION ALL "
+    f"SELECT raw_id, nth, 'tool', {_string('t.value')}, 10, kind FROM typed, json_each(CASE WHEN json_type({_at(_PAYLOAD, '$.' + k)}) = 'OBJECT' THEN {_at(_PAYLOAD, '$.' + k)} END) t"
+    for k in ("input", "output", "arguments")
+)
+_WORDS = "(?i)message|prompt|completion|chat|conversation"
+SQL |= {
+    "src_typed_lines": f"{_RECORDS}, typed AS (SELECT *, {_string(_at('r', '$.type'))} AS kind FROM records), blocks AS (SELECT raw_id, nth, kind, {_string(_at(_PAYLOAD, '$.role'))} AS role, {_unnested(_at(_PAYLOAD, '$.content'))} AS b FROM typed), "
+    f"found AS (SELECT raw_id, nth, role, {_string(_at('b', '$.text'))} AS text, 5 AS least, kind FROM blocks WHERE kind = 'response_item' "
+    f"UNION ALL SELECT raw_id, nth, 'user', {_string(_at(_PAYLOAD, '$.message'))}, 5, kind FROM typed WHERE kind = 'event_msg' "
+    f"UNION ALL SELECT * FROM ({_TOOL_VALUES}) WHERE kind IN ('tool_call', 'tool_output')) SELECT raw_id, nth::INT AS nth, role, text FROM found WHERE length(text) > least",
+    "src_session_details": f"WITH {_VALID}, turns AS (SELECT raw_id, {_unnested(_HISTORY)} AS m FROM valid), contents AS (SELECT raw_id, {_string(_at('m', '$.message.role'))} AS role, {_at('m', '$.message.content')} AS c FROM turns), "
+    f"blocks AS (SELECT raw_id, role, {_unnested('c')} AS b FROM contents), "
+    f"found AS (SELECT raw_id, role, {_string('c')} AS text, 0 AS least FROM contents UNION ALL SELECT raw_id, role, coalesce({_string(_at('b', '$.text'))}, {_string('b')}), 5 FROM blocks) "
+    "SELECT raw_id, role, text FROM found WHERE length(text) > least",
+    "src_json_recursive": f"WITH gated AS (SELECT * FROM raw_sessions WHERE trim(payload, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND regexp_matches(payload, '{_WORDS}')), valid AS (SELECT raw_id, source_key, payload::JSON AS j FROM gated WHERE json_valid(payload)), "
+    f"leaves AS (SELECT source_key, t.atom ->> '$' AS text, len(regexp_extract_all(t.fullkey, '{_STEPS}')) AS depth FROM valid, json_tree(j) t WHERE t.type = 'VARCHAR'), "
+    "texts AS (SELECT source_key FROM leaves WHERE depth < 5 AND length(text) > 10 UNION ALL SELECT source_key FROM gated WHERE NOT json_valid(payload)) "
+    "SELECT source_key, count(*) AS messages, greatest(count(*) // 10, 1)::BIGINT AS conversations FROM texts GROUP BY source_key",
+}
+
+# Texts of the flat tables straight from the documents: the path of every string, its nearest key and its nearest element.
+_STRINGS = "SELECT raw_id, source_file, replace(regexp_replace(t.fullkey, '^\\$\\.?', ''), '\"', '') AS text_path, t.atom ->> '$' AS text FROM valid, json_tree(j) t WHERE t.type = 'VARCHAR'"
+_KEYS = "('text', 'content', 'display', 'message', 'prompt', 'output', 'arguments')"
+_IS_TEXT = f"text <> '' AND (regexp_matches(text_path, '(^|[.])input([.\\[]|$)') OR regexp_extract(text_path, '(?:^|[.])([^.\\[\\]]+)(?:\\[[0-9]+\\])*$', 1) IN {_KEYS})"
+_PARENT = "regexp_extract(text_path, '^(.*\\])[.]', 1) AS parent_path"
+TABLES_SQL = {
+    "p5_found": f"WITH {_VALID} SELECT DISTINCT raw_id, text_path, {_PARENT} FROM ({_STRINGS}) WHERE {_IS_TEXT}",
+    "p5_messages": f"WITH {_VALID} SELECT raw_id, text_path, {_PARENT}, source_file, text FROM ({_STRINGS}) WHERE {_IS_TEXT}",
+}

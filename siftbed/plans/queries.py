@@ -47,7 +47,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_normalised, p5_found, p5_tables, p5_links, p5_blocks, p5_messages)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(json_queries.TABLES_SQL)
 for module in (scalar_queries, rule_queries, report_queries, json_queries):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
