@@ -199,7 +199,14 @@ def m12_iso_ts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("message_id", F.unix_micros(S.iso_instant(F.col("ts_raw"))).alias("us")).where("us is not null").distinct()
 
 
+def m13_valid_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with two bytes appended that are no UTF-8: each becomes a replacement character."""
+    raw = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FFFE"))).cast("string")
+    return read_table(spark, folder, "documents").select("doc_id", F.make_valid_utf8(raw).alias("text"))
+
+
 _FUNCTIONS = [
+    m13_valid_text,
     x19_context_window, x20_context_keyword, x22_line_number, x23_context_line, x24_home_paths, x25_grouped_numbers, x26_substr_count, x27_conv_estimate,
     f01_lookback_filter, f04_keyword_gate, f05_ext_filter, f06_pruned_paths, f08_name_filter, f09_min_length, m08_strip_blank, m10_truncate_text, m11_epoch_ms, m12_iso_ts,
 ]
@@ -221,6 +228,7 @@ SQL |= {
     "f08_name_filter": "SELECT raw_id FROM raw_sessions WHERE contains(lower(source_file), 'copilot') OR suffix(source_file, '.jsonl')",
     "f09_min_length": "SELECT " + ", ".join(f"count(*) FILTER (WHERE length(text) > {k})::BIGINT AS longer_{k}" for k in (5, 10, 20)) + " FROM messages",
     "m08_strip_blank": "SELECT message_id, len(l)::INT AS lines, array_to_string(l, '|') AS joined FROM (SELECT message_id, list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: " + sql.stripped("x") + "), lambda x: x <> '') AS l FROM (SELECT DISTINCT message_id, text FROM messages WHERE text IS NOT NULL))",
+    "m13_valid_text": "SELECT doc_id, text || chr(65533) || chr(65533) AS text FROM documents",
     "m10_truncate_text": "SELECT doc_id, text[:1000] AS text FROM documents",
     "m11_epoch_ms": "SELECT DISTINCT message_id, ts_raw::BIGINT * 1000 AS us FROM messages WHERE regexp_full_match(ts_raw, '\\d{13}')",
     "m12_iso_ts": "SELECT DISTINCT message_id, epoch_us(TRY_CAST(ts_raw AS TIMESTAMPTZ)) AS us FROM messages WHERE TRY_CAST(ts_raw AS TIMESTAMPTZ) IS NOT NULL AND regexp_full_match(ts_raw, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d{1,6})?(Z|[+-]\\d{2}:\\d{2})')",
