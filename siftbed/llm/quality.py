@@ -143,9 +143,8 @@ def _ends(s: str) -> bool:
     return s.rstrip(_QUOTES).endswith(_MARKS)
 
 
-def _cells(line: str) -> int:
-    """The number of cells of a table row in the notation the line seems to have; 0 if it is no row."""
-    s = line.strip()
+def _cells(s: str, n: int) -> int:
+    """The number of cells of a table row in the notation that a stripped line of `n` words seems to have; 0 if it is no row."""
     if "<" in s and _HTML_ROW.search(s):
         return 9
     if s.count("|") >= 2 and (s[0] == "|" or s[-1] == "|" or s.count(" | ") >= 2):
@@ -153,11 +152,11 @@ def _cells(line: str) -> int:
     if "\t" in s and len(s.split("\t")) >= 2:
         return len(s.split("\t"))
     gaps = len(_GAPS.findall(s)) if "  " in s or not s.isascii() else 0
-    if gaps >= 2 or gaps == 1 and len(s.split()) <= 6 and not _ends(s):
+    if gaps >= 2 or gaps == 1 and n <= 6 and not _ends(s):
         return gaps + 1
     for mark in (",", ";", " & ", "|", "^", "~"):
-        n = s.count(mark)
-        if n >= 2 or n == 1 and mark in ",;|" and len(s.split()) <= 4:
+        m = s.count(mark)
+        if m >= 2 or m == 1 and mark in ",;|" and n <= 4:
             parts = s.rstrip(mark).split(mark)
             if len(parts) < 2:
                 continue
@@ -166,22 +165,13 @@ def _cells(line: str) -> int:
     return 0
 
 
-def line_kinds(lines: list[str], cells: list[int] | None = None) -> list[str]:
-    """What each line is by its structure: blank, rule, heading, list, table, code, junk or text."""
+def line_kinds(lines: list[str], stripped: list[str], numbers: list[int], cells: list[int], bullets: list[re.Match | None]) -> list[str]:
+    """What each line is by its structure: rule, heading, list, table, code, junk or text, given what was seen of them."""
     kinds: list[str] = []
-    cells = cells or [_cells(x) if x.strip() else 0 for x in lines]
-    filled = [c for c, x in zip(cells, lines) if x.strip()]
-    at = -1
-    for k, line in enumerate(lines):
-        s = line.strip()
-        if not s:
-            kinds.append("blank")
-            continue
-        n, at = len(s.split()), at + 1
+    for k, (line, s, n, bullet) in enumerate(zip(lines, stripped, numbers, bullets)):
         if len(s) > 80 and s[0].isalpha() and not _NO_PROSE.search(s):
             kinds.append("text")
             continue
-        bullet = _BULLET.match(line)
         bare = s.rstrip(",;.")
         first = s[0]
         if first in _HEXADECIMAL and _HEX.match(line) or _SOLID.match(s) and not s.isalpha() or len(s) > 200 and n <= 2:
@@ -196,7 +186,7 @@ def line_kinds(lines: list[str], cells: list[int] | None = None) -> list[str]:
             kinds.append("navigation")
         elif n <= 5 and not bullet and _ENTRY.match(bare) and cells[k] < 2 and not any(w.lower() in _ANY_FUNCTION for w in bare.split()):
             kinds.append("entry")
-        elif cells[k] >= 2 and (near := filled[max(0, at - 2) : at] + filled[at + 1 : at + 3]).count(cells[k]) >= min(2, len(near)) and not (bullet and "|" not in s and "\t" not in s) and not _LOG.match(line) and not s.endswith((";", "{", "(", "),")):
+        elif cells[k] >= 2 and (near := cells[max(0, k - 2) : k] + cells[k + 1 : k + 3]).count(cells[k]) >= min(2, len(near)) and not (bullet and "|" not in s and "\t" not in s) and not _LOG.match(line) and not s.endswith((";", "{", "(", "),")):
             kinds.append("table")
         elif bullet and not re.match(r"-\s+[\w-]+:\s*[\w/.\"'$-]*$", s):
             body = line[bullet.end() :]
@@ -248,16 +238,17 @@ def described(text: str | None) -> tuple[np.ndarray, dict]:
     of_languages = known_words(counts)
     known = max(of_languages.values()) / n
     far, language = word_divergence(counts, n, of_languages)
-    cells = [_cells(x) for x in lines]
-    kinds = line_kinds(lines, cells)
-    sizes, where = [], []
-    for k, (line, kind) in enumerate(zip(lines, kinds)):
-        s = line.strip()
-        last, first, c = s[-1], s[0], cells[k]
-        sizes.append(len(s))
+    stripped = [x.strip() for x in lines]
+    sizes, numbers = list(map(len, stripped)), [len(s.split()) for s in stripped]
+    cells = list(map(_cells, stripped, numbers))
+    bullets = list(map(_BULLET.match, lines))
+    kinds = line_kinds(lines, stripped, numbers, cells, bullets)
+    where = []
+    for k, (s, n, c, bullet, kind) in enumerate(zip(stripped, numbers, cells, bullets, kinds)):
+        last, first = s[-1], s[0]
         where.append((
-            _ENDS.get(last, 5 if last.isalpha() else 6), 0 if _BULLET.match(line) else 1 if first.isupper() else 2 if first.isalpha() else 3 if first.isdigit() else _STARTS.get(first, 10),
-            bisect_left(LINE_WORDS, len(s.split())), 0 if c < 2 else 2 if k and cells[k - 1] == c or cells[k + 1 : k + 2] == [c] else 1, _LINE_PLACE[kind],
+            _ENDS.get(last, 5 if last.isalpha() else 6), 0 if bullet else 1 if first.isupper() else 2 if first.isalpha() else 3 if first.isdigit() else _STARTS.get(first, 10),
+            bisect_left(LINE_WORDS, n), 0 if c < 2 else 2 if k and cells[k - 1] == c or cells[k + 1 : k + 2] == [c] else 1, _LINE_PLACE[kind],
         ))
     columns = zip(*where) if where else [()] * 5
     ends, starts, lengths, in_cells, by_kind = (np.bincount(np.array(c, dtype=np.int64), sizes, m) for c, m in zip(columns, (7, 11, len(LINE_WORDS) + 1, 3, len(_LINE_KINDS))))
@@ -273,7 +264,7 @@ def described(text: str | None) -> tuple[np.ndarray, dict]:
         out[a:b] = out[a:b] / total if total else 1 / (b - a)
     size, mass = max(1.0, classes.sum()), max(1.0, sum(sizes))
     common = sum(counts[w] for w in counts.keys() & _ANY_FUNCTION)
-    sentence = sum(_ends(x.strip()) for x in lines)
+    sentence = sum(map(_ends, stripped))
     return out, {
         "n_chars": len(text), "n_words": len(words), "n_lines": len(lines), "mean_word_length": float(word_sizes.mean()) if words else 0.0,
         "symbol_ratio": float(classes[[CLASSES.index(c) for c in ("quote", "bracket", "operator", "rule", "broken")]].sum() / size), "digit_ratio": float(classes[CLASSES.index("digit")] / size),
