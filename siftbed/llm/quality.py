@@ -94,13 +94,16 @@ for _c in range(128):
 
 def class_counts(text: str) -> np.ndarray:
     """How many characters of each class; other letters count as accents, replacement characters as broken."""
-    raw = np.bincount(_BYTE_CLASS[np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)], minlength=len(CLASSES)).astype(float)
-    if not text.isascii():
-        raw[CLASSES.index("accent")] = sum(1 for c in text if ord(c) > 127) - text.count("�")
-        raw[CLASSES.index("broken")] += text.count("�")
+    data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+    raw = np.bincount(_BYTE_CLASS[data], minlength=len(CLASSES)).astype(float)
+    if len(data) != len(text):
+        broken = text.count("�")
+        raw[_ACCENT] = len(text) - np.count_nonzero(data < 128) - broken
+        raw[_BROKEN] += broken
     return raw
 
 
+_ACCENT, _BROKEN = CLASSES.index("accent"), CLASSES.index("broken")
 _WORD_PROFILES = {language: np.append(q := np.array(list(shares.values())) / 1000, 1 - q.sum()) for language, shares in FUNCTION_WORDS.items()}
 
 
@@ -123,15 +126,15 @@ def word_divergence(counts: Counter, total: int, known: dict[str, int] | None =
         # Languages share a few words: one with far fewer of its own than another can't be the nearest.
         if not n or 2 * n < most:
             continue
-        # A text prefers some function words to others; square roots temper that without changing their sum.
-        places, p = _WORD_PLACES[language], np.zeros(len(_WORD_PROFILES[language]))
-        for w in common:
-            if w in places:
-                p[places[w]] = counts[w]
-        p = np.sqrt(p)
-        p *= n / total / p.sum()
-        p[-1] = 1 - n / total
-        best = min(best, (divergence(p, _WORD_PROFILES[language]), language))
+            # A text prefers some function words to others; square roots temper that without changing their sum.
+        places, own, q = _WORD_PLACES[language], [w for w in common if w in _WORD_PLACES[language]], _WORD_PROFILES[language]
+        p = np.sqrt(np.array([counts[w] for w in own], dtype=float))
+        p, at = np.append(p * (n / total / p.sum()), max(1e-12, 1 - n / total)), [places[w] for w in own] + [-1]
+        # Words that don't occur add half of their share in the profile.
+        q_at = q[at]
+        m = (p + q_at) / 2
+        far = (p * np.log2(p / m)).sum() / 2 + (q_at * np.log2(q_at / m)).sum() / 2 + (1 - q_at.sum()) / 2
+        best = min(best, (max(0.0, float(far)), language))
     return best
 
 
@@ -228,7 +231,7 @@ def _share(x: float) -> list[float]:
 
 
 def described(text: str | None) -> tuple[np.ndarray, dict]:
-    """The distributions of a text, one after the other, and its statistics. Null counts as empty."""
+    """The counts of a text's distributions, one after the other, and its statistics. Null counts as empty."""
     text = text or ""
     lines = [x for x in text.split("\n") if x.strip()]
     low = text.lower()
@@ -258,10 +261,7 @@ def described(text: str | None) -> tuple[np.ndarray, dict]:
     broken = ((0 if text.isascii() else len(_MOJIBAKE.findall(text))) + classes[CLASSES.index("broken")]) / n
     navigation = 10 * (sum(map(low.count, _PHRASES)) + sum(map(text.count, _CAPITALS))) / max(1, len(text))
     groups = [classes, ends, starts, lengths, in_cells, letters, _share(known), _share(far), by_kind, _share(repeated), _share(broken), _share(navigation), _share(5 * len(words) / max(1, len(text)))]
-    out = np.concatenate([np.asarray(g, dtype=float) for g in groups])
-    for a, b in zip(_EDGES, _EDGES[1:]):
-        total = out[a:b].sum()
-        out[a:b] = out[a:b] / total if total else 1 / (b - a)
+    out = np.concatenate(groups)
     size, mass = max(1.0, classes.sum()), max(1.0, sum(sizes))
     common = sum(counts[w] for w in counts.keys() & _ANY_FUNCTION)
     sentence = sum(map(_ends, stripped))
@@ -278,14 +278,20 @@ FLOOR = 1e-3
 
 
 def _smoothed(rows: np.ndarray) -> list[np.ndarray]:
-    """The distributions of described texts, apart, each with the floor."""
+    """The distributions of described texts, apart, each with the floor; without any count all classes are alike."""
     out = []
     for a, b in zip(_EDGES, _EDGES[1:]):
-        part = np.maximum(rows[:, a:b], FLOOR)
+        part = rows[:, a:b]
+        total = part.sum(axis=1, keepdims=True)
+        part = np.maximum(np.divide(part, total, out=np.full(part.shape, 1 / (b - a)), where=total > 0), FLOOR)
         out.append(part / part.sum(axis=1, keepdims=True))
     return out
 
 
+def normalised(rows: np.ndarray) -> np.ndarray:
+    return np.concatenate(_smoothed(rows), axis=1)
+
+
 def distances(rows: np.ndarray, profiles: np.ndarray) -> np.ndarray:
     """The weighted sum of the divergences of all distributions, of each row from each profile, block by block."""
     weights, far = [w for _, w in DISTRIBUTIONS.values()], _smoothed(profiles)
@@ -301,7 +307,7 @@ CLUSTERS, NEIGHBOURS, AGREEING = 12, 5, 2
 @functools.cache
 def _seeds() -> tuple[np.ndarray, tuple[str, ...]]:
     texts = [(kind, text) for kind, texts in SEEDS.items() for text in texts]
-    return np.array([described(text)[0] for _, text in texts]), tuple(kind for kind, _ in texts)
+    return normalised(np.array([described(text)[0] for _, text in texts])), tuple(kind for kind, _ in texts)
 
 
 def fit_profiles(texts: list[tuple[str, str | None]]) -> tuple[np.ndarray, list[str]]:
@@ -311,7 +317,7 @@ def fit_profiles(texts: list[tuple[str, str | None]]) -> tuple[np.ndarray, list[
     profiles, of = list(seeds), list(kinds)
     if not labelled:
         return np.array(profiles), of
-    rows = np.array([described(text)[0] for _, text in labelled])
+    rows = normalised(np.array([described(text)[0] for _, text in labelled]))
     labels = np.array([label for label, _ in labelled])
     every, names = np.concatenate([rows, seeds]), np.concatenate([labels, kinds])
     near = distances(rows, every)
