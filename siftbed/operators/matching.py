@@ -142,8 +142,8 @@ _COLUMNS = [
 ]
 
 
-def candidates(messages: DataFrame, rules: tuple[Rule, ...] | None = None, key: str = "message_id", text: str = "text", gated: bool = True) -> DataFrame:
-    """Every match of every rule: `key`, place of the rule, offset, match, what surrounds it, line and redacted context.
+def candidates(messages: DataFrame, rules: tuple[Rule, ...] | None = None, key: str = "message_id", text: str = "text", gated: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every match of every rule: `key`, columns to `keep`, place of the rule, offset, match, what surrounds it, line and redacted context.
 
     `gated` leaves out matches that the keyword filter would turn down anyway, as no keyword stands in the whole text.
     """
@@ -152,27 +152,29 @@ def candidates(messages: DataFrame, rules: tuple[Rule, ...] | None = None, key:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(those, gated)
         for batch in batches:
-            keys, columns = [], [[] for _ in _COLUMNS]
-            for row, value in zip(batch.column(0), batch.column(1).to_pylist()):
+            rows, columns = [], [[] for _ in _COLUMNS]
+            for row, value in enumerate(batch.column(1).to_pylist()):
                 for one in matcher.matches(value) if value else ():
-                    keys.append(row)
+                    rows.append(row)
                     for column, item in zip(columns, one):
                         column.append(item)
-                    if len(keys) >= BATCH:
-                        yield _as_batch(batch, keys, columns, key)
-                        keys, columns = [], [[] for _ in _COLUMNS]
-            if keys:
-                yield _as_batch(batch, keys, columns, key)
-
-    source = messages.select(key, text)
-    schema = f"`{key}` {source.schema[0].dataType.simpleString()}, place int, match_start int, matched_text string, surroundings string, following string, line_number int, context string"
+                    if len(rows) >= BATCH:
+                        yield _as_batch(batch, rows, columns)
+                        rows, columns = [], [[] for _ in _COLUMNS]
+            if rows:
+                yield _as_batch(batch, rows, columns)
+
+    source = messages.select(key, text, *keep)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for i, f in enumerate(source.schema) if i != 1)
+    schema = f"{kept}, place int, match_start int, matched_text string, surroundings string, following string, line_number int, context string"
     return spread(source.where(F.length(text) > 0)).mapInArrow(scan, schema)
 
 
-def _as_batch(batch: pa.RecordBatch, keys: list, columns: list[list], key: str) -> pa.RecordBatch:
-    arrays = [pa.array([k.as_py() for k in keys], batch.schema.field(0).type)]
-    arrays += [pa.array(c, t) for c, (_, t) in zip(columns, _COLUMNS)]
-    return pa.RecordBatch.from_arrays(arrays, names=[key] + [n for n, _ in _COLUMNS])
+def _as_batch(batch: pa.RecordBatch, rows: list[int], columns: list[list]) -> pa.RecordBatch:
+    at = pa.array(rows, pa.int64())
+    kept = [i for i in range(batch.num_columns) if i != 1]
+    arrays = [batch.column(i).take(at) for i in kept] + [pa.array(c, t) for c, (_, t) in zip(columns, _COLUMNS)]
+    return pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in kept] + [n for n, _ in _COLUMNS])
 
 
 DATABASE_RULES = ["postgres_uri", "mongodb_uri", "mysql_uri", "redis_uri", "cassandra_uri", "cockroachdb_uri", "connection_string_generic", "neon_db_uri"]
@@ -209,18 +211,19 @@ def judged(found: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame
     return joined.withColumns(verdicts())
 
 
-def findings(messages: DataFrame, rules: tuple[Rule, ...] | None = None, key: str = "message_id", text: str = "text") -> DataFrame:
+def findings(messages: DataFrame, rules: tuple[Rule, ...] | None = None, key: str = "message_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each message, rule and matched text that passes all filters: the first of them that does.
 
+    The columns to `keep` come with it, so nothing has to be joined back; of rows that repeat a key the least of them.
     The raw match stays in `matched_text`; reports leave it out.
     """
-    found = candidates(messages, rules, key, text)
+    found = candidates(messages, rules, key, text, keep=keep)
     joined = found.join(F.broadcast(catalog_frame(found.sparkSession, rules).drop("regex", "anchors")), "place")
     for passed in verdicts().values():
         joined = joined.where(passed)
-    first = F.min_by(F.struct("match_start", "line_number", "context"), "match_start")
+    first = F.min(F.struct("match_start", "line_number", "context", *keep))
     kept = joined.groupBy(key, "place", "pattern_id", "pattern_name", "category", "severity", "severity_rank", "matched_text").agg(first.alias("at"))
     return kept.select(
-        key, "place", "pattern_id", "pattern_name", "category", "severity", "severity_rank", "matched_text",
+        key, *(F.col(f"at.{c}").alias(c) for c in keep), "place", "pattern_id", "pattern_name", "category", "severity", "severity_rank", "matched_text",
         S.redacted(F.col("matched_text")).alias("redacted_text"), "at.match_start", "at.line_number", "at.context",
     )

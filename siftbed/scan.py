@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from siftbed.operators import matching, reports
 from siftbed.operators.catalog import SEVERITIES, Rule
-from siftbed.session import get_spark
+from siftbed.session import get_spark, written
 from siftbed.sources import tools
 
 
@@ -32,8 +32,7 @@ class Scan:
 
 def scan_messages(messages: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """Findings of a table of messages with their source and file; `rules` replaces the catalog."""
-    found = matching.findings(messages, rules)
-    return found.join(messages.select("message_id", "source_key", "source_tool", "source_file").dropDuplicates(["message_id"]), "message_id")
+    return matching.findings(messages, rules, keep=("source_key", "source_tool", "source_file"))
 
 
 def scan_text(spark: SparkSession, text: str, rules: tuple[Rule, ...] | None = None, source_file: str = "", source_tool: str = "") -> DataFrame:
@@ -107,6 +106,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     begun = time.monotonic()
     scope = tools.Scope(spark or get_spark(), options.home, options.days, linux=sys.platform != "darwin")
     result = scan(scope, options.tool, options.path)
+    # The reports look at both several times; the files are read once, and no raw match is written.
+    result = Scan(written(result.sources, "sources"), written(result.findings.drop("matched_text", "context"), "findings"), result.days)
     total = print_json(result) if options.json else print_text(result, options.verbose, options.home)
     if not options.json:
         print(f"\n{time.monotonic() - begun:.1f} s")
