@@ -93,7 +93,7 @@ def has_stepped_hex(text: Column) -> Column:
     low = F.lower(text)
 
     def stepped(run: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.floor(F.char_length(run) / 2).cast("int") - 1), lambda i: F.conv(F.substring(run, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+        pairs = F.transform(F.regexp_extract_all(run, F.lit(".."), F.lit(0)), lambda pair: F.conv(pair, 16, 10).cast("int"))
         step = F.element_at(pairs, 2) - F.element_at(pairs, 1)
         return F.forall(F.sequence(F.lit(2), F.size(pairs)), lambda i: F.element_at(pairs, i.cast("int")) - F.element_at(pairs, i.cast("int") - 1) == step)
 
