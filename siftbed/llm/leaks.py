@@ -4,17 +4,18 @@ The words of the test passages are an alphabet of bounded size. Every shard of d
 words that no passage has, and runs of passage words too short to hold a phrase, are one symbol that is never searched.
 The shard's FM-index (the Burrows-Wheeler transform in a wavelet matrix) is searched backwards for all phrases of `SEED`
 words of the passages at once; occurrences are located by sampled suffix positions, at most one for each word of a
-document. Phrases that few passages have name the pairs of a document and a passage worth comparing; the hits of such a
-pair, of all phrases, are chained in order, and a chain with enough words is a leak. The words of all stretches of hits
-are the spans to remove. Documents longer than a shard are searched in pieces whose hits are put together. Shards live
-within one task, so nothing is shuffled, and passages are broadcast in blocks of bounded size, each a pass of its own.
+document. Pairs of a document and a passage are compared unless the words that their hits cover, on either side, can't
+make a leak, however many passages have a phrase. The hits of a pair are put together in stretches and chained in order,
+and enough words of them are a leak. The words of all stretches of hits are the spans to remove. Documents longer than a
+shard are searched in pieces whose hits are put together. Shards live within one task, so nothing is shuffled, and
+passages are broadcast in blocks of bounded size, each a pass of its own.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,8 +38,8 @@ ENOUGH = 14
 GAP = 8
 #: Matched words of a part of a leak that stands apart from the others.
 PART = 6
-#: A phrase that at most so many passages' places have names pairs, and so many of its hits make one worth comparing.
-RARE, NAMED = 16, 2
+#: Words from one hit to the next of a stretch, at most; and hits that are compared at once.
+REACH, AT_ONCE = GAP + SEED - 1, 1 << 20
 #: Symbols of a shard, and the distance of sampled suffix positions.
 SHARD, SAMPLE = 1 << 18, 8
 
@@ -141,12 +142,14 @@ def _suffix_array(sequence: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Phrases:
-    """The searched phrases of a block of passages, and where each stands: (number of the passage, word)."""
+    """The searched phrases of a block of passages. Phrase k stands at the places first[k] to first[k + 1]: number of the passage, word."""
 
     items: list
     vocabulary: dict[str, int]
     symbols: np.ndarray
-    places: list[list[tuple[int, int]]]
+    first: np.ndarray
+    passage: np.ndarray
+    word: np.ndarray
 
 
 def passages(items: DataFrame, item: str, text: str) -> DataFrame:
@@ -172,13 +175,15 @@ def phrases(items: list[tuple[object, str]]) -> Phrases:
     """All phrases of SEED words of (item, passage) pairs; passages with fewer words have none."""
     texts = [words(t) for _, t in items]
     vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for t in texts for w in t}))}
-    places: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-    for i, t in enumerate(texts):
-        ids = [vocabulary[w] for w in t]
-        for k in range(len(ids) - SEED + 1):
-            places[tuple(ids[k : k + SEED])].append((i, k))
-    keys = sorted(places)
-    return Phrases([i for i, _ in items], vocabulary, np.array(keys, dtype=np.int64).reshape(-1, SEED), [places[k] for k in keys])
+    numbers = [np.array([vocabulary[w] for w in t], dtype=np.int64) for t in texts]
+    every = [np.lib.stride_tricks.sliding_window_view(t, SEED) for t in numbers if len(t) >= SEED]
+    symbols, phrase = np.unique(np.concatenate([np.zeros((0, SEED), dtype=np.int64), *every]), axis=0, return_inverse=True)
+    phrase = phrase.reshape(-1)
+    order = np.argsort(phrase, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(phrase, minlength=len(symbols)))])
+    sizes = np.array([max(0, len(t) - SEED + 1) for t in texts], dtype=np.int64)
+    passage, word = np.repeat(np.arange(len(texts)), sizes), _ranges(np.zeros_like(sizes), sizes)
+    return Phrases([i for i, _ in items], vocabulary, symbols, first, passage[order], word[order])
 
 
 def runs(ids: np.ndarray) -> list[tuple[int, int]]:
@@ -188,59 +193,141 @@ def runs(ids: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in edge.reshape(-1, 2).tolist() if b - a >= SEED]
 
 
-def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest part of (document word, passage word) matches that goes forward in both, without stray parts.
+def chain(at: np.ndarray, word: np.ndarray) -> int:
+    """How many matches of a document word and a passage word, in order, the longest chain has that goes forward in both.
 
-    Matches at most GAP words apart form a part; parts under PART matches don't count.
+    It is a stretch of the passage, where at most GAP words are unmatched at the end of a part and at the start of the
+    next one; any text may stand between them in the document.
     """
-    if len(pairs) < PART:
-        return []
-    pairs = sorted(set(pairs), key=lambda p: (p[0], -p[1]))
-    tails: list[int] = []
-    values: list[int] = []
-    back = [-1] * len(pairs)
-    for k, (_, b) in enumerate(pairs):
-        at = bisect_left(values, b)
-        if at == len(tails):
-            tails.append(k)
-            values.append(b)
-        else:
-            tails[at], values[at] = k, b
-        back[k] = tails[at - 1] if at else -1
-    path, k = [], tails[-1]
-    while k >= 0:
-        path.append(pairs[k])
-        k = back[k]
-    path.reverse()
-    parts: list[list[tuple[int, int]]] = [[path[0]]]
-    for p in path[1:]:
-        last = parts[-1][-1]
-        if p[0] - last[0] > GAP or p[1] - last[1] > GAP:
-            parts.append([])
-        parts[-1].append(p)
-    return [p for part in parts if len(part) >= PART for p in part]
-
-
-def stretches(pairs: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], int]:
-    """The matches that stand in a stretch of at least PART of them, and how many the longest stretch has.
+    far = 2 * GAP
+    if _wide(at):
+        top = np.zeros(int(word.max()) + 1 + far, dtype=np.int64)
+        before = np.lib.stride_tricks.sliding_window_view(top, far)
+        for row in np.split(word, np.flatnonzero(np.diff(at)) + 1):
+            n = before[row].max(axis=1) + 1
+            top[row + far] = np.maximum(top[row + far], n)
+        return int(top.max())
+    best: dict[int, int] = {}
+    for _, b in sorted(zip(at.tolist(), word.tolist()), key=lambda p: (p[0], -p[1])):
+        best[b] = max(best.get(b, 0), 1 + max(best.get(y, 0) for y in range(b - far, b)))
+    return max(best.values(), default=0)
+
+
+def stretches(at: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Which matches of a document word and a passage word, in order, stand in a stretch of at least PART of them.
 
     A stretch goes forward in both by at most GAP words at a time; a document may hold several of the same words, in any order.
     """
-    pairs = sorted(set(pairs))
-    at: dict[int, list[int]] = defaultdict(list)
-    for a, b in pairs:
-        at[a].append(b)
-
-    def longest(order: list[tuple[int, int]], way: int) -> dict[tuple[int, int], int]:
-        best: dict[tuple[int, int], int] = {}
-        for a, b in order:
-            near = (best[x, y] for x in range(a + way, a + way * (GAP + 1), way) for y in at.get(x, ()) if 0 < (y - b) * way <= GAP)
-            best[a, b] = 1 + max(near, default=0)
-        return best
-
-    until, since = longest(pairs, -1), longest(pairs[::-1], 1)
-    sizes = [until[p] + since[p] - 1 for p in pairs]
-    return [p for p, n in zip(pairs, sizes) if n >= PART], max(sizes, default=0)
+    until, since = _until(at, word), _until(-at[::-1], -word[::-1])[::-1]
+    return until + since > PART
+
+
+def _wide(at: np.ndarray) -> bool:
+    """Whether words of the document match many of the passage, as where one word is repeated."""
+    return len(at) > 16 * (1 + np.count_nonzero(np.diff(at)))
+
+
+def _until(at: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The matches of the longest stretch that ends with each match."""
+    if _wide(at):
+        word = word - word.min()
+        # The longest that end at each word of the passage, of the last GAP words of the document and of all of them.
+        last = np.zeros((GAP, int(word.max()) + 1 + GAP), dtype=np.int64)
+        top = np.zeros(last.shape[1], dtype=np.int64)
+        before, out, done = np.lib.stride_tricks.sliding_window_view(top, GAP), [], int(at[0])
+        starts = np.flatnonzero(np.diff(at, prepend=at[0] - 1))
+        for a, row in zip(at[starts].tolist(), np.split(word, starts[1:])):
+            for x in range(max(done, a - GAP), a):
+                last[x % GAP] = 0
+            last.max(axis=0, out=top)
+            out.append(before[row].max(axis=1) + 1)
+            last[a % GAP] = 0
+            last[a % GAP, row + GAP] = out[-1]
+            done = a + 1
+        return np.concatenate(out)
+    rows: dict[int, dict[int, int]] = defaultdict(dict)
+    out = []
+    for a, b in zip(at.tolist(), word.tolist()):
+        most = 0
+        for x in range(a - GAP, a):
+            row = rows.get(x, {})
+            # A word that the passage repeats has many places; only those within the gap are looked at.
+            for y in row if len(row) <= GAP else range(b - GAP, b):
+                if b - GAP <= y < b:
+                    most = max(most, row.get(y, 0))
+        rows[a][b] = most + 1
+        out.append(most + 1)
+    return np.array(out, dtype=np.int64)
+
+
+def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of every range, one after the other."""
+    return np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _covered(passage: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The passages whose hits at the given words, all of a document or all of the passage, cover enough words in parts."""
+    if not len(at):
+        return passage
+    span = int(at.max()) + SEED + GAP
+    spots = np.unique((passage * span + at)[:, None] + np.arange(SEED))
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(spots) > GAP]))
+    sizes = np.diff(np.append(begin, len(spots)))
+    which, start = np.unique(spots[begin] // span, return_index=True)
+    return which[np.add.reduceat(np.where(sizes >= PART, sizes, 0), start) >= ENOUGH]
+
+
+def _near(passage: np.ndarray, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Which hits, ordered by passage and word of the document, have another one in reach; one alone is no part."""
+    near = np.zeros(len(at), dtype=bool)
+    for step in range(1, min(len(at), 33)):
+        close = (passage[step:] == passage[:-step]) & (at[step:] - at[:-step] <= REACH)
+        if near.all() or not close.any():
+            break
+        # What has so many hits in reach in the document alone stays for the comparison.
+        if step < 32:
+            close &= np.abs(word[step:] - word[:-step]) <= REACH
+        near[step:] |= close
+        near[:-step] |= close
+    return near
+
+
+def _compared(hits: list[tuple[int, int]], wanted: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of a passage, document words, passage words) of the hits with the passages that may be repeated.
+
+    What is left out can't make a leak: each match of one stands in a part of at least PART, and has ENOUGH in all.
+    """
+    if len(hits) * SEED < ENOUGH:
+        return
+    at, phrase = np.array(sorted(hits, key=lambda h: h[1]), dtype=np.int64).T
+    held, begin, times = np.unique(phrase, return_index=True, return_counts=True)
+    # First the places of the phrases that the document has, each once, however often it has them.
+    sizes = wanted.first[held + 1] - wanted.first[held]
+    places, owner = _ranges(wanted.first[held], sizes), np.repeat(np.arange(len(held)), sizes)
+    kept = np.bincount(wanted.passage[places])[wanted.passage[places]] * SEED >= ENOUGH
+    places, owner = places[kept], owner[kept]
+    kept = np.isin(wanted.passage[places], _covered(wanted.passage[places], wanted.word[places]))
+    places, owner = places[kept], owner[kept]
+    if not len(places):
+        return
+    order = np.argsort(wanted.passage[places], kind="stable")
+    places, owner = places[order], owner[order]
+    # Then the hits of the passages that are left, in blocks of whole passages.
+    _, start = np.unique(wanted.passage[places], return_index=True)
+    before = (np.cumsum(times[owner]) - times[owner])[start] // AT_ONCE
+    for rows in np.split(np.arange(len(places)), start[1:][np.diff(before) > 0]):
+        n = times[owner[rows]]
+        a = at[_ranges(begin[owner[rows]], n)]
+        i, b = np.repeat(wanted.passage[places[rows]], n), np.repeat(wanted.word[places[rows]], n)
+        order = np.lexsort((b, a, i))
+        i, a, b = i[order], a[order], b[order]
+        kept = _near(i, a, b)
+        i, a, b = i[kept], a[kept], b[kept]
+        kept = np.isin(i, np.intersect1d(_covered(i, a), _covered(i, b)))
+        i, a, b = i[kept], a[kept], b[kept]
+        which, start = np.unique(i, return_index=True)
+        for k, x, y in zip(which.tolist(), np.split(a, start[1:]), np.split(b, start[1:])):
+            yield k, x, y
 
 
 def occurrences(pieces: list[tuple[int, int, np.ndarray]], wanted: Phrases) -> Iterator[tuple[int, int, int]]:
@@ -259,7 +346,7 @@ def occurrences(pieces: list[tuple[int, int, np.ndarray]], wanted: Phrases) -> I
     if not len(found):
         return
     sizes = (high - low)[found]
-    rows = np.repeat(low[found], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rows = _ranges(low[found], sizes)
     where, phrase = index.locate(rows), np.repeat(found, sizes)
     run = np.searchsorted(np.array([x[0] for x in at]), where, side="right") - 1
     for p, k, r in zip(where.tolist(), phrase.tolist(), run.tolist()):
@@ -270,28 +357,25 @@ def occurrences(pieces: list[tuple[int, int, np.ndarray]], wanted: Phrases) -> I
 def repeated(hits: list[tuple[int, int]], wanted: Phrases) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(number of a passage, matches) of the passages that one document's (word, phrase) hits repeat.
 
-    One chain with enough words makes a leak; its matches are those of all stretches, as a passage may stand there
-    repeatedly or with its parts in another order.
+    One chain through stretches with enough words makes a leak; its matches are those of all stretches, as a
+    passage may stand there repeatedly or with its parts in another order. Each word of either side is in them, but
+    one that is repeated not with all the words that it matches.
     """
-    named: dict[int, set[int]] = defaultdict(set)
-    for _, k in hits:
-        if len(wanted.places[k]) <= RARE:
-            for i, _ in wanted.places[k]:
-                named[i].add(k)
-    pairs: dict[int, set[tuple[int, int]]] = {i: set() for i, ks in named.items() if len(ks) >= NAMED}
-    if not pairs:
-        return
-    for a, k in hits:
-        for i, place in wanted.places[k]:
-            if i in pairs:
-                pairs[i].update((a + j, place + j) for j in range(SEED))
-    for i, both in sorted(pairs.items()):
-        if len(both) < ENOUGH:
-            continue
-        in_order = len(chain(list(both)))
-        path, most = stretches(list(both))
-        if max(in_order, most) >= ENOUGH:
-            yield i, path
+    known: dict[bytes, list[tuple[int, int]]] = {}
+    for i, at, word in _compared(hits, wanted):
+        # Passages that share some of their words have the same matches but for the words before them.
+        first = int(word.min())
+        key = np.stack([at, word - first]).tobytes()
+        if key not in known:
+            width = int(word.max()) - first + SEED
+            pairs = np.unique(at * width + word - first + np.arange(SEED)[:, None] * (width + 1))
+            a, b = pairs // width, pairs % width
+            inside = stretches(a, b)
+            a, b = a[inside], b[inside]
+            shown = np.union1d(np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1])
+            known[key] = list(zip(a[shown].tolist(), b[shown].tolist())) if chain(a, b) >= ENOUGH else []
+        if known[key]:
+            yield i, [(a, b + first) for a, b in known[key]]
 
 
 def _matches(texts: list[tuple[object, np.ndarray]], wanted: Phrases, size: int | None = None) -> Iterator[tuple[object, object, list[tuple[int, int]]]]:
@@ -321,9 +405,15 @@ def _matches(texts: list[tuple[object, np.ndarray]], wanted: Phrases, size: int
             yield texts[d][0], wanted.items[i], path
 
 
+@functools.lru_cache(maxsize=1)
+def _spots(text: str) -> list[tuple[int, int]]:
+    """Where the words of a text stand, kept for all the leaks of one document."""
+    return [m.span() for m in _tokens(text)]
+
+
 def spans(text: str, path: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """Starts and ends in the text of the stretches of matched words, which may have up to GAP others in between."""
-    spots = [m.span() for m in _tokens(text)]
+    spots = _spots(text)
     out: list[list[int]] = []
     for w, _ in path:
         if out and w - out[-1][2] <= GAP:
@@ -341,9 +431,10 @@ def _searched(documents: DataFrame, wanted: Broadcast, item_kind: str) -> DataFr
         phrases_of = wanted.value
         get = phrases_of.vocabulary.get
 
-        def searched(texts: list) -> pa.RecordBatch:
-            out = [(record, i, len({p for _, p in path}), *spans(value, path)) for (record, value), i, path in _matches(texts, phrases_of)]
-            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(schema)], schema=schema)
+        def searched(texts: list) -> Iterator[pa.RecordBatch]:
+            found = ((record, i, len({p for _, p in path}), *spans(value, path)) for (record, value), i, path in _matches(texts, phrases_of))
+            while out := list(itertools.islice(found, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
         texts, size, schema = [], 0, None
         for batch in batches:
@@ -355,10 +446,10 @@ def _searched(documents: DataFrame, wanted: Broadcast, item_kind: str) -> DataFr
                     texts.append(((record, value), ids))
                     size += n
                 if size >= SHARD:
-                    yield searched(texts)
+                    yield from searched(texts)
                     texts, size = [], 0
         if texts:
-            yield searched(texts)
+            yield from searched(texts)
 
     item_type = to_arrow_type(_parse_datatype_string(item_kind))
     return documents.mapInArrow(run, f"record {kind}, item {item_kind}, n_words int, starts array<int>, ends array<int>")

@@ -73,6 +73,78 @@ def test_rules_of_lines_take_no_time():
     assert leaks.words("+" + "-" * 60 + "\n| > 1. one\n  - b) two") == ["one", "two"]
 
 
+def _found(text: str, items: list[tuple[int, str]]) -> dict[int, list[int]]:
+    wanted = leaks.phrases(items)
+    ids = np.array([wanted.vocabulary.get(w, 0) for w in leaks.words(text)], dtype=np.int64)
+    return {item: sorted({a for a, _ in path}) for _, item, path in leaks._matches([("d", ids)], wanted)}
+
+
+def test_passages_are_found_however_many_share_their_phrases():
+    shared = " ".join(f"w{k}" for k in range(24))
+    own = [" ".join(f"v{i}x{k}" for k in range(i % 7 + 5)) for i in range(60)]
+    items = [(i, [shared, f"{shared} {own[i]}", f"{own[i]} {shared}"][i % 3]) for i in range(60)]
+    assert _found(f"before {shared} after", items) == {i: list(range(1, 25)) for i in range(60)}
+    # A word in one of them that the others don't have.
+    assert set(_found(f"before {shared} {own[1]} after", items)) == set(range(60))
+    assert _found("before " + " ".join(shared.split()[:9]) + " after", items) == {}
+
+
+def test_passages_of_one_phrase_are_found():
+    assert _found("before " + "la " * 20 + "after", [(1, "la " * 20), (2, "la " * 40), (3, "la " * 9)]) == {1: list(range(1, 21)), 2: list(range(1, 21))}
+    assert _found("before " + "la " * 9 + "after", [(1, "la " * 20)]) == {}
+
+
+def test_what_is_left_out_before_the_comparison_is_no_leak(monkeypatch):
+    """Against the comparison of every passage with all hits, in texts of few words that most passages share."""
+    rng = np.random.default_rng(8)
+    number = 0
+    for words, at_once in ((3, 1), (8, 100), (12, 1 << 20), (20, 1 << 20), (20, 1)) * 4:
+        monkeypatch.setattr(leaks, "AT_ONCE", at_once)
+        said = [f"w{k}" for k in range(words)]
+        passages = [[said[k] for k in rng.integers(0, words, rng.integers(0, 40))] for _ in range(40)]
+        passages += [[*p[:12], *q[:12]] for p, q in zip(passages[:20], passages[20:])]
+        pieces = [p[k : k + 14] for p, k in zip(passages, rng.integers(0, 9, 60))]
+        text = [w for k in rng.permutation(60)[:25] for w in [*pieces[k], *(said[j] for j in rng.integers(0, words, 4)), *["other"] * int(rng.integers(0, 12))]]
+        wanted = leaks.phrases([(i, " ".join(p)) for i, p in enumerate(passages)])
+        phrase = {tuple(p): k for k, p in enumerate(wanted.symbols.tolist())}
+        ids = [wanted.vocabulary.get(w, 0) for w in text]
+        hits = [(a, phrase[t]) for a in range(len(ids)) if (t := tuple(ids[a : a + leaks.SEED])) in phrase]
+        plain = {}
+        for i, p in enumerate(passages):
+            places = [(a, b) for a in range(len(text) - 2) for b in range(len(p) - 2) if text[a : a + 3] == p[b : b + 3]]
+            at, word = np.array(sorted({(a + j, b + j) for a, b in places for j in range(3)}), dtype=np.int64).reshape(-1, 2).T
+            inside = leaks.stretches(at, word)
+            if leaks.chain(at[inside], word[inside]) >= leaks.ENOUGH:
+                plain[i] = set(at[inside].tolist()), set(word[inside].tolist())
+        assert {i: ({a for a, _ in path}, {b for _, b in path}) for i, path in leaks.repeated(hits, wanted)} == plain
+        number += len(plain)
+    assert number > 100
+
+
+def test_stretches_and_chains_of_repeated_words(monkeypatch):
+    rng = np.random.default_rng(9)
+    for share in (0.02, 0.1, 0.4, 0.9, 1) * 4:
+        at, word = np.nonzero(rng.random((60, 50)) < share)
+        at = at + 30 * (at > 40)
+        results = []
+        for wide in (True, False):
+            monkeypatch.setattr(leaks, "_wide", lambda _, wide=wide: wide)
+            inside = leaks.stretches(at, word)
+            results.append((inside.tolist(), leaks._until(at, word).tolist(), leaks.chain(at, word), leaks.chain(at[inside], word[inside]) if inside.any() else 0))
+        assert results[0] == results[1]
+        pairs, plain = list(zip(at.tolist(), word.tolist())), {}
+        for a, b in pairs:
+            plain[a, b] = 1 + max((plain.get((x, y), 0) for x in range(a - 8, a) for y in range(b - 8, b)), default=0)
+        assert results[0][1] == list(plain.values())
+
+
+def test_halves_apart_are_found_but_not_phrases_of_different_places():
+    passage, between = [f"w{k}" for k in range(60)], [f"x{k}" for k in range(50)]
+    items = [(1, " ".join(passage))]
+    assert _found(" ".join([*passage[10:20], *between, *passage[20:30]]), items) == {1: [*range(10), *range(60, 70)]}
+    assert _found(" ".join([*passage[2:10], *between, *passage[40:48]]), items) == {}
+
+
 def _vocabulary() -> tuple[list[str], list[tuple[int, str]]]:
     import pyarrow.parquet as pq
 
@@ -132,3 +204,12 @@ def test_tables(spark):
         assert {(text[r.starts[0] : r.ends[-1]], r.n_words) for r in rows} == {(text[text.index("WORD0") : -4], 30)}
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert leaks.leaks(documents, empty).count() == 0 == leaks.leaks(documents.limit(0), items).count()
+
+
+def test_leaks_are_the_same_in_blocks_of_any_size(spark):
+    passage = " ".join(f"word{k}" for k in range(30))
+    items = spark.createDataFrame([(k, f"own{k} {passage} last{k}") for k in range(40)], "item_id bigint, text string")
+    documents = spark.createDataFrame([(1, f"before {passage} after")], "doc_id bigint, text string")
+    for block in (15, 20_000):
+        rows = leaks.leaks(documents, items, block=block).collect()
+        assert sorted((r.item_id, r.n_words, r.starts, r.ends) for r in rows) == [(k, 30, [7], [7 + len(passage)]) for k in range(40)]
